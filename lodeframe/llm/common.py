@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the contents of a character class.
@@ -74,3 +74,27 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
+
+
+def surviving(docs: DataFrame, keys: dict[str, Column], verdicts: DataFrame, id_column: str, prefer: list[Column]) -> DataFrame:
+    """Rows of ``docs`` under its own columns, without those that ``verdicts`` drops.
+
+    ``keys`` gives, by name, expressions over ``docs`` that with the id name a row; ``verdicts`` (those names, doc_id,
+    kept) has a row for each row of ``docs``. Rows that share all keys are settled together: if any of them is kept,
+    the first by ``prefer`` stays. Only what is dropped or shared is joined, and Spark broadcasts that if it is small.
+    """
+    of = {n: fresh(docs, f"__of_{n}") for n in (*keys, "doc_id", "kept", "place")}
+    own = {n: fresh(docs, f"__own_{n}") for n in keys}
+    settled = verdicts.groupBy(*keys, "doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    settled = settled.where(~F.col("kept") | (F.col("rows") > 1)).drop("rows")
+    settled = written(settled, "verdicts").withColumnsRenamed({n: of[n] for n in (*keys, "doc_id", "kept")})
+    keyed = docs.withColumns({own[n]: x for n, x in keys.items()})
+    match = quoted(id_column).eqNullSafe(F.col(of["doc_id"]))
+    for n in keys:
+        match = match & (F.col(own[n]) == F.col(of[n]))
+    single = keyed.join(settled, match, "left_anti")
+    shared = Window.partitionBy(*own.values(), quoted(id_column)).orderBy(*prefer)
+    several = keyed.join(settled.where(F.col(of["kept"])), match, "left_semi")
+    several = several.withColumn(of["place"], F.row_number().over(shared)).where(F.col(of["place"]) == 1)
+    columns = [quoted(c) for c in docs.columns]
+    return single.select(*columns).unionByName(several.select(*columns))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, partitions, quoted, written
+from .common import quoted, surviving, written
 
 #: Digests that are broadcast at most, and counters of the summary: a digest with more than 1/COUNTERS of the rows is
 #: among them for certain. Rarer ones that the summary misses take the shuffle, so that no bound drops any.
@@ -85,32 +85,12 @@ def digests(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> D
 def without_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay, under the columns of ``docs``.
 
-    Winners are found by (digest, length, doc_id), without shuffling texts by group. Only where several rows share all
-    three does one of them have to be picked, and only those rows move.
+    Winners are found by digest and doc_id, without shuffling texts by group. Only where several rows share both does
+    one of them have to be picked, and only those rows move.
     """
-    length, digest, place = (fresh(docs, f"__dedup_{n}") for n in ("length", "digest", "place"))
-    kept = exact_groups(digests(docs, id_column, text))
-    tied = kept.groupBy("text_sha256", "doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
-    losers = written(tied.where(~F.col("kept") | (F.col("rows") > 1)).drop("rows"), "dedup-losers")
-    keyed = docs.withColumn(length, F.coalesce(F.length(quoted(text)), F.lit(0))).withColumn(
-        digest, text_digest(quoted(text))
-    )
-    by_digest, by_id, stays = (fresh(docs, f"__dedup_of_{n}") for n in ("digest", "id", "kept"))
-    moved = losers.select(
-        F.col("text_sha256").alias(by_digest), F.col("doc_id").alias(by_id), F.col("kept").alias(stays)
-    )
-    match = (F.col(digest) == F.col(by_digest)) & quoted(id_column).eqNullSafe(F.col(by_id))
-    single = keyed.join(moved, match, "left_anti")
-    several = (
-        keyed.join(moved.where(F.col(stays)), match, "left_semi")
-        .withColumn(
-            place,
-            F.row_number().over(Window.partitionBy(digest, quoted(id_column)).orderBy(F.col(length).desc(), quoted(text))),
-        )
-        .where(F.col(place) == 1)
-    )
-    columns = [quoted(c) for c in docs.columns]
-    return single.select(*columns).unionByName(several.select(*columns))
+    kept = exact_groups(digests(docs, id_column, text)).select("text_sha256", "doc_id", "kept")
+    longest = [F.length(quoted(text)).desc_nulls_last(), quoted(text)]
+    return surviving(docs, {"text_sha256": text_digest(quoted(text))}, kept, id_column, longest)
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """The driver queries of the corpus operators, with SQL for those that SQL can express."""
 
-from . import exact_dedup, mixing, packing, token_counts
+from . import exact_dedup, mixing, packing, simhash, token_counts
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_packing": packing.op8_packing,
+    "op9_simhash": simhash.op9_simhash,
 }
 
 ORACLE_SQL = {
