@@ -1,6 +1,6 @@
 """The driver queries of the corpus operators, with SQL for those that SQL can express."""
 
-from . import exact_dedup, mixing, packing, simhash, token_counts
+from . import chat, exact_dedup, mixing, packing, simhash, token_counts
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -8,9 +8,11 @@ QUERIES = {
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_packing": packing.op8_packing,
     "op9_simhash": simhash.op9_simhash,
+    "op10_chat_format": chat.op10_chat_format,
 }
 
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op10_chat_format": chat.OP10_SQL,
 }
