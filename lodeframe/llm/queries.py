@@ -1,11 +1,12 @@
 """The driver queries of the corpus operators, with SQL for those that SQL can express."""
 
-from . import chat, exact_dedup, mixing, packing, simhash, token_counts, toxicity
+from . import chat, exact_dedup, fingerprints, mixing, packing, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_fingerprints": fingerprints.op4_fingerprints,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_packing": packing.op8_packing,
     "op9_simhash": simhash.op9_simhash,
