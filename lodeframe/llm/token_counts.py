@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .common import fresh, quoted, tokenizer_path
-from .pretokens import BYTE_PARTS, is_safe, special_strings
+from .pretokens import BYTE_PARTS, in_byte_letters, is_safe, special_strings
 
 #: Distinct pre-tokens that a Python worker keeps the counts of at most; past it the counts start anew.
-KEPT = 400_000
+KEPT = 150_000
 
 
 class PieceCounter:
@@ -29,6 +29,7 @@ class PieceCounter:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = special_strings(self.tokenizer)
         self.pieces: dict[str, int] = {}
 
@@ -37,8 +38,8 @@ class PieceCounter:
         if len(self.pieces) + len(new) > KEPT:
             self.pieces.clear()
             new = list(parts)
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.pieces[p] = len(e)
+        for p in new:
+            self.pieces[p] = len(self.model.tokenize(in_byte_letters(p)))
 
     def counts(self, texts: list[str | None]) -> list[int]:
         out = []
