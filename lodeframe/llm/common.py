@@ -45,6 +45,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few short columns that a broadcast may have.
+BROADCAST_ROWS = 300_000
+
+
+def if_small(stored: DataFrame) -> DataFrame:
+    """A stored table, marked for broadcast if it has at most BROADCAST_ROWS rows; beyond, Spark joins by shuffle."""
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -81,7 +90,7 @@ def surviving(docs: DataFrame, keys: dict[str, Column], verdicts: DataFrame, id_
 
     ``keys`` gives, by name, expressions over ``docs`` that with the id name a row; ``verdicts`` (those names, doc_id,
     kept) has a row for each row of ``docs``. Rows that share all keys are settled together: if any of them is kept,
-    the first by ``prefer`` stays. Only what is dropped or shared is joined, and Spark broadcasts that if it is small.
+    the first by ``prefer`` stays. Only what is dropped or shared is joined, by broadcast if that is small.
     """
     of = {n: fresh(docs, f"__of_{n}") for n in (*keys, "doc_id", "kept", "place")}
     own = {n: fresh(docs, f"__own_{n}") for n in keys}
@@ -92,7 +101,7 @@ def surviving(docs: DataFrame, keys: dict[str, Column], verdicts: DataFrame, id_
     match = quoted(id_column).eqNullSafe(F.col(of["doc_id"]))
     for n in keys:
         match = match & (F.col(own[n]) == F.col(of[n]))
-    single = keyed.join(settled, match, "left_anti")
+    single = keyed.join(if_small(settled), match, "left_anti")
     shared = Window.partitionBy(*own.values(), quoted(id_column)).orderBy(*prefer)
     several = keyed.join(settled.where(F.col(of["kept"])), match, "left_semi")
     several = several.withColumn(of["place"], F.row_number().over(shared)).where(F.col(of["place"]) == 1)

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, fresh, partitions, quoted, word_count, written
+from .common import SPACE, WORD, fresh, partitions, quoted, word_count, written
 
 #: Ranges of the key for each shuffle partition.
 RANGES = 4

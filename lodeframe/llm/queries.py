@@ -1,12 +1,13 @@
 """The driver queries of the corpus operators, with SQL for those that SQL can express."""
 
-from . import chat, exact_dedup, fingerprints, mixing, packing, pii, simhash, token_counts, toxicity
+from . import chat, exact_dedup, fingerprints, mixing, packing, pii, quality, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_fingerprints": fingerprints.op4_fingerprints,
+    "op5_quality": quality.op5_quality,
     "op6_pii": pii.op6_pii,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_packing": packing.op8_packing,
