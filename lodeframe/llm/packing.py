@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import quoted, tokenizer_path, written
-from .pretokens import is_safe, special_strings
+from .pretokens import WORD_PARTS, in_byte_letters, is_safe, special_strings
 
 #: Documents in a shard, about.
 SHARD = 4_096
 #: A sequence with more room than this part of the window is dissolved.
 OPEN = 1 / 32
-#: Distinct words that a Python worker keeps the ids of at most; past it they start anew.
-KEPT = 500_000
+#: Distinct words, and parts of them, that a Python worker keeps the ids of at most; past it they start anew.
+KEPT = 200_000
 
 
 class RoomTree:
@@ -92,18 +92,30 @@ class IdEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = special_strings(self.tokenizer)
+        self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def packed(self, ids: list[int]) -> bytes:
         return b"".join([i.to_bytes(4, "little") for i in ids])
 
     def learn(self, words: set[str]) -> None:
+        """Words are runs without white space; each is a sequence of parts, which many words share."""
         new = [w for w in words if w not in self.words]
         if len(self.words) + len(new) > KEPT:
             self.words.clear()
             new = list(words)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.words[w] = self.packed(e.ids)
+        if len(self.parts) > KEPT:
+            self.parts.clear()
+        for w in new:
+            ids = b""
+            for part in WORD_PARTS.findall(w):
+                known = self.parts.get(part)
+                if known is None:
+                    known = self.packed([t.id for t in self.model.tokenize(in_byte_letters(part))])
+                    self.parts[part] = known
+                ids += known
+            self.words[w] = ids
 
     def ids(self, text: str | None) -> bytes:
         if not text:
