@@ -98,6 +98,12 @@ def _forest(values: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
+def _link_frame(rows: list[tuple]) -> pd.DataFrame:
+    """(file, u, v) with nulls; whole numbers stay whole on the way, which a column of floats would round."""
+    columns = zip(*rows) if rows else ((), (), ())
+    return pd.DataFrame({n: pd.array(list(c), dtype=t) for n, c, t in zip(("file", "u", "v"), columns, ("Int32", "Int64", "Int64"))})
+
+
 def _file_links(crowded: int | None):
     """For mapInPandas over (file, key, fp), sorted by file and key: links (file null, u, v), and for files of more
     than ``crowded`` members the members themselves (file, u), in bounded memory."""
@@ -124,8 +130,8 @@ def _file_links(crowded: int | None):
                 if crowded and len(held) > crowded:
                     out += [(file, x, None) for x in held]
                     held, over = [], True
-            yield pd.DataFrame(out, columns=["file", "u", "v"]).astype({"file": "Int32", "u": "Int64", "v": "Int64"})
-        yield pd.DataFrame(finish(), columns=["file", "u", "v"]).astype({"file": "Int32", "u": "Int64", "v": "Int64"})
+            yield _link_frame(out)
+        yield _link_frame(finish())
 
     return run
 
