@@ -1,0 +1,68 @@
+"""The pipeline's stages against brute-force versions, each on its own input."""
+
+import random
+import re
+from collections import Counter
+
+import pytest
+
+import corpus_pipeline
+from lodeframe.llm.common import written
+from lodeframe.llm.simhash import text_fingerprint
+
+rng = random.Random(4)
+WORDS = ["".join(rng.choices("aeioustrn", k=rng.randint(3, 7))) for _ in range(300)]
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("corpus")
+    rows = [(i, " ".join(rng.choices(WORDS, k=80)), "en", f"s{i % 3}") for i in range(150)]
+    rows += [(200 + i, rows[i][1].replace(" ", "  ", 1), "en", "s0") for i in range(20)]
+    rows += [(300 + i, rows[i][1] + " " + WORDS[0], "en", "s1") for i in range(20)]
+    rows += [(400 + i, " ".join(rng.choices(WORDS, k=30)).upper().replace(" ", "!! "), "en", "s2") for i in range(20)]
+    rows += [(500, None, None, None), (501, "", "en", "s0")]
+    rows = [(*r, len(r[1] or "")) for r in rows]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    labels = [(i, 1, 0) for i in range(100)] + [(400 + i, 0, 0) for i in range(10)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_stages(spark, corpus):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    columns, seen = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.collect()
+        docs = written(stage(spark, docs, corpus), "test")
+        seen.append((before, docs.collect()))
+        if name != "packing":
+            assert docs.columns == columns, name
+    quality, exact, near, mixed, packed = seen
+    assert {r["doc_id"] for r in quality[1]} == {r["doc_id"] for r in quality[0] if not 400 <= r["doc_id"] < 500}
+    bare = lambda r: re.sub(r"[\x20\x09-\x0D]", "", r["text"] or "")
+    best = {}
+    for r in sorted(exact[0], key=lambda r: (-len(r["text"] or ""), r["doc_id"])):
+        best.setdefault(bare(r), r["doc_id"])
+    assert sorted(r["doc_id"] for r in exact[1]) == sorted(best.values())
+    fps = {r["doc_id"]: text_fingerprint(r["text"]) for r in near[0]}
+    group = {i: i for i in fps}
+    for _ in range(5):
+        for i in fps:
+            group[i] = min(group[j] for j in fps if (fps[i] ^ fps[j]).bit_count() <= 3)
+    assert {r["doc_id"] for r in near[1]} == set(group.values()) and len(near[1]) == len(set(group.values()))
+    words = lambda r: len((r["text"] or "").split())
+    sizes, taken = Counter(), Counter()
+    for r in mixed[0]:
+        sizes[r["source"]] += words(r)
+    for r in mixed[1]:
+        taken[r["source"]] += words(r)
+    assert abs(sum(taken.values()) - 1.5 * sum(sizes.values())) <= len(sizes)
+    assert all(taken[s] <= 2 * sizes[s] for s in sizes)
+    assert sum(r["length"] for r in packed[1]) == sum(r["doc_tokens"] for r in packed[1] if r["start"] == 0)
+    assert sum(r["start"] == 0 for r in packed[1]) == len(packed[0])
+
+
+def test_run(spark, corpus):
+    out = corpus_pipeline.run(spark, corpus)
+    assert {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} <= set(out.columns) and out.count() > 150
