@@ -23,15 +23,22 @@ def dense(df: DataFrame, output: str, order: list[Column], start: int = 1, step:
     return dealt.withColumn(output, (F.lit(start) + F.lit(step) * place).cast("long")).drop("__lf_range")
 
 
+def _shuffles(df: DataFrame) -> bool:
+    return "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
 def identified(df: DataFrame, offset: int = 0) -> DataFrame:
     """``df`` with the hidden row id, in its reader's order and from offset + 1.
 
-    Parquet rows have a file and an index, which need no shuffle; other rows are counted partition by partition.
+    Rows are counted partition by partition, which for a table of files reads no columns. What comes out of a shuffle
+    is kept first, as its partitions may fall otherwise when it is run again.
     """
     if ROW_ID in df.columns:
         return df
     rows = df.withColumn("__lf_at", F.monotonically_increasing_id()).withColumn("__lf_part", F.spark_partition_id())
-    sizes = {r["__lf_part"]: r["count"] for r in df.groupBy(F.spark_partition_id().alias("__lf_part")).count().collect()}
+    if _shuffles(df):
+        rows = rows.persist()
+    sizes = {r["__lf_part"]: r["count"] for r in rows.groupBy("__lf_part").count().collect()}
     before, total = [], 0
     for part in range(max(sizes, default=0) + 1):
         before.append(total)
