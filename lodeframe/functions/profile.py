@@ -54,15 +54,12 @@ def column_figures(df: DataFrame, name: str) -> dict[str, Column]:
     share = lambda mask: F.coalesce(F.sum((filled & mask).cast("long")), F.lit(0))
     is_text = isinstance(kind(df, name), T.StringType)
     types = F.array_sort(F.collect_set(F.when(filled, logical_type(df, name))))
-    unique = F.count_distinct(F.when(filled, c))
-    rows = F.count(F.lit(1))
     digits = F.length(F.regexp_replace(text, r"\D", ""))
     return {
         "inferred_types": F.array_join(types, ","),
         "mixed_types": F.size(types) > 1,
         "blank_percentage": F.coalesce(F.round(100.0 * F.avg(blank(c).cast("double")), 2), F.lit(0.0)),
-        "unique_count": unique,
-        "candidate_key": (rows > 0) & (F.coalesce(F.sum(filled.cast("long")), F.lit(0)) == rows) & (unique == rows),
+        "filled": F.coalesce(F.sum(filled.cast("long")), F.lit(0)),
         "formula_injection_count": share(starts_formula(text)) if is_text else F.lit(0).cast("long"),
         "suspicious_email_count": share(text.contains("@") & ~ustrip(text).rlike(EMAIL)) if is_text else F.lit(0).cast("long"),
         "suspicious_phone_count": share(~digits.between(10, 15)) if PHONE_HEADER.search(name) else F.lit(0).cast("long"),
@@ -70,15 +67,30 @@ def column_figures(df: DataFrame, name: str) -> dict[str, Column]:
     }
 
 
+def unique_counts(df: DataFrame) -> DataFrame:
+    """(name, unique_count): different values that aren't blank. One row for each cell, combined before the shuffle;
+    counting the columns side by side would copy each whole row once for each column."""
+    cells = []
+    for n in visible(df):
+        text = qcol(n).cast("string")
+        value = F.when(F.length(text) > 64, F.sha2(text.cast("binary"), 256)).otherwise(text)
+        cells.append(F.struct(F.lit(n).alias("name"), F.when(~blank(qcol(n)), value).alias("value")))
+    long = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    return long.groupBy("name", "value").agg(F.lit(1).alias("one")).groupBy("name").agg(F.count("value").alias("unique_count"))
+
+
 def profile_columns(df: DataFrame) -> DataFrame:
-    """A row for each column, from one aggregate over the table."""
+    """A row for each column, from one aggregate over the table and one over its cells."""
     names = visible(df)
     figures = [column_figures(df, n) for n in names]
-    wide = df.agg(*[x.alias(f"c{i}_{k}") for i, f in enumerate(figures) for k, x in f.items()])
+    wide = df.agg(F.count(F.lit(1)).alias("rows"), *[x.alias(f"c{i}_{k}") for i, f in enumerate(figures) for k, x in f.items()])
     rows = [
-        F.struct(F.lit(n).alias("name"), *[F.col(f"c{i}_{k}").alias(k) for k in figures[i]]) for i, n in enumerate(names)
+        F.struct(F.lit(n).alias("name"), "rows", *[F.col(f"c{i}_{k}").alias(k) for k in figures[i]]) for i, n in enumerate(names)
     ]
-    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    each = wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    joined = each.join(unique_counts(df), "name", "left").withColumn("unique_count", F.coalesce("unique_count", F.lit(0)))
+    key = (F.col("rows") > 0) & (F.col("filled") == F.col("rows")) & (F.col("unique_count") == F.col("rows"))
+    return joined.withColumn("candidate_key", key).drop("rows", "filled")
 
 
 def profile_rows(df: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ from pydantic import Field, TypeAdapter, model_validator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import ROW_ID, as_date, blank, member, num, pystr, qcol, require_columns, ustrip, visible
-from ..plans.identity import numbered
+from ..functions.core import ORDER, ROW_ID, as_date, blank, member, num, pystr, qcol, require_columns, ustrip, visible
+from ..plans.identity import identified, numbered
 from .base import Counts, OpResult, Params, operator
 from .standardise import EMAIL
 
@@ -184,7 +184,7 @@ def bad_rows(df: DataFrame, r: Any) -> list[tuple[str, str, str | None, Column]]
 
 
 def validate_table(df: DataFrame, rules: list, original_headers: list[str] | None = None, rows: bool = True) -> Report:
-    """Checks a table. Counts take one aggregate; the rows of broken rules take one more job each."""
+    """Checks a table. Counts take one aggregate; the rows of broken rules take one more."""
     checks: list[tuple[str, str, str | None, Column]] = []
     totals: list[tuple[Any, Column]] = []
     issues: list[Issue] = []
@@ -196,17 +196,23 @@ def validate_table(df: DataFrame, rules: list, original_headers: list[str] | Non
             totals.append((r, F.coalesce(F.sum(num(df, r.column)), F.lit(0.0))))
         elif not isinstance(r, InvalidHeaders):
             checks += bad_rows(df, r)
-    marked = df.select(*[qcol(c) for c in df.columns], *[x[3].alias(f"__lf_bad{i}") for i, x in enumerate(checks)])
+    if rows and checks and ROW_ID not in df.columns:
+        df = identified(df)
+    marked = df.select(*[qcol(c) for c in (*visible(df), ROW_ID, ORDER) if c in df.columns], *[x[3].alias(f"__lf_bad{i}") for i, x in enumerate(checks)])
     sums = [F.coalesce(F.sum(F.col(f"__lf_bad{i}").cast("long")), F.lit(0)) for i in range(len(checks))]
     found = marked.agg(F.lit(0), *sums, *[x for _, x in totals]).first()[1:] if sums or totals else []
-    place = numbered(marked, "__lf_line", start=2) if rows and any(found[: len(checks)]) else None
+    flags = [c for c in marked.columns if c in (ROW_ID, ORDER) or c.startswith("__lf_bad")]
+    place = numbered(marked.select(*flags), "__lf_line", start=2) if rows and any(found[: len(checks)]) else None
+    named: dict[int, list[int]] = {}
+    if place is not None:
+        broken = F.filter(F.array(*[F.when(F.col(f"__lf_bad{i}"), i) for i in range(len(checks))]), lambda i: i.isNotNull())
+        first = F.row_number().over(Window.partitionBy("i").orderBy("__lf_line"))  # cut off in each task before the shuffle
+        lines = place.select("__lf_line", F.explode(broken).alias("i")).withColumn("n", first).where(F.col("n") <= NAMED_ROWS)
+        for row in lines.collect():
+            named.setdefault(row["i"], []).append(row["__lf_line"])
     for i, (code, message, column, _) in enumerate(checks):
         if found[i]:
-            lines: tuple[int, ...] = ()
-            if place is not None:
-                bad = place.where(F.col(f"__lf_bad{i}")).select("__lf_line").orderBy("__lf_line").limit(NAMED_ROWS)
-                lines = tuple(r[0] for r in bad.collect())
-            issues.append(Issue(code, message, column, found[i], lines))
+            issues.append(Issue(code, message, column, found[i], tuple(sorted(named.get(i, ())))))
     for (r, _), value in zip(totals, found[len(checks) :]):
         if isinstance(r, RowCount) and value != r.expected:
             issues.append(Issue("row_count_mismatch", f"{value} rows instead of {r.expected}", None, abs(value - r.expected)))
