@@ -97,13 +97,15 @@ def surviving(docs: DataFrame, keys: dict[str, Column], verdicts: DataFrame, id_
     settled = verdicts.groupBy(*keys, "doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
     settled = settled.where(~F.col("kept") | (F.col("rows") > 1)).drop("rows")
     settled = written(settled, "verdicts").withColumnsRenamed({n: of[n] for n in (*keys, "doc_id", "kept")})
+    small = settled.count() <= BROADCAST_ROWS
+    sent = lambda table: F.broadcast(table) if small else table
     keyed = docs.withColumns({own[n]: x for n, x in keys.items()})
     match = quoted(id_column).eqNullSafe(F.col(of["doc_id"]))
     for n in keys:
         match = match & (F.col(own[n]) == F.col(of[n]))
-    single = keyed.join(if_small(settled), match, "left_anti")
+    single = keyed.join(sent(settled), match, "left_anti")
     shared = Window.partitionBy(*own.values(), quoted(id_column)).orderBy(*prefer)
-    several = keyed.join(settled.where(F.col(of["kept"])), match, "left_semi")
+    several = keyed.join(sent(settled.where(F.col(of["kept"]))), match, "left_semi")
     several = several.withColumn(of["place"], F.row_number().over(shared)).where(F.col(of["place"]) == 1)
     columns = [quoted(c) for c in docs.columns]
     return single.select(*columns).unionByName(several.select(*columns))
