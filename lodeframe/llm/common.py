@@ -31,15 +31,27 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it again.
+#: Rows in a batch to and from Python, where whole texts go there.
+TEXT_ROWS = 2_000
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    """Writes ``df`` as Parquet into the shared folder and reads it again; with ``batch``, in batches of so many rows at
+    most wherever Python takes part.
 
     Cuts the lineage, so that a lost executor costs no more than its running tasks, and gives later joins the size of
     their inputs. The files go when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH)
+    if batch:
+        spark.conf.set(BATCH, str(min(batch, int(before)) if int(before) > 0 else batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return spark.read.schema(df.schema).parquet(path)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, tokenizer_path, written
+from .common import TEXT_ROWS, quoted, tokenizer_path, written
 from .pretokens import WORD_PARTS, in_byte_letters, is_safe, special_strings
 
 #: Documents in a shard, about.
@@ -24,7 +24,7 @@ SHARD = 4_096
 #: A sequence with more room than this part of the window is dissolved.
 OPEN = 1 / 32
 #: Distinct words, and parts of them, that a Python worker keeps the ids of at most; past it they start anew.
-KEPT = 200_000
+KEPT = 120_000
 
 
 class RoomTree:
@@ -170,7 +170,7 @@ def tokenized(
                 {"uid": batch["uid"], "doc_id": batch["doc_id"], "doc_tokens": tokens, "crcs": crcs, "parts": parts, "ids": kept}
             )
 
-    return written(rows.mapInPandas(encode, schema), "pack-tokens")
+    return written(rows.mapInPandas(encode, schema), "pack-tokens", TEXT_ROWS)
 
 
 def pieces(tokens: DataFrame, window: int = 2048) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import partitions, quoted, surviving, written
+from .common import TEXT_ROWS, partitions, quoted, surviving, written
 from .components import components
 
 #: Bits that may differ.
@@ -79,6 +79,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     return written(
         docs.select(quoted(id_column).alias("doc_id"), F.xxhash64(text_column).alias("text_hash"), fingerprint(text_column).alias("fp")),
         "simhash",
+        TEXT_ROWS,
     )
 
 
