@@ -49,7 +49,7 @@ def test_best_fit_decreasing_is_best_fit():
     rng = random.Random(5)
     for window in (1, 7, 64, 2048):
         lengths = [rng.randint(1, window) for _ in range(200)]
-        room, expected = [], {}
+        room: list[int] = []
         for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
             fits = [r for r in room if r >= lengths[i]]
             if fits:
@@ -61,7 +61,6 @@ def test_best_fit_decreasing_is_best_fit():
         for (s, _), n in zip(placed, lengths):
             fill[s] += n
         assert sorted(window - f for f in fill) == sorted(room) and max(fill) <= window
-        del expected
 
 
 def test_powers_of_two():
