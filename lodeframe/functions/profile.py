@@ -80,7 +80,8 @@ def unique_counts(df: DataFrame) -> DataFrame:
 
 
 def profile_columns(df: DataFrame) -> DataFrame:
-    """A row for each column, from one aggregate over the table and one over its cells."""
+    """A row for each column, from one aggregate over the table and one over its cells; columns of text take up to three
+    jobs of their own for their variations."""
     names = visible(df)
     figures = [column_figures(df, n) for n in names]
     wide = df.agg(F.count(F.lit(1)).alias("rows"), *[x.alias(f"c{i}_{k}") for i, f in enumerate(figures) for k, x in f.items()])
@@ -89,6 +90,10 @@ def profile_columns(df: DataFrame) -> DataFrame:
     ]
     each = wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     joined = each.join(unique_counts(df), "name", "left").withColumn("unique_count", F.coalesce("unique_count", F.lit(0)))
+    spelled = {n: variations(df, n) for n in names if isinstance(kind(df, n), T.StringType)}
+    counts = F.array(*[F.struct(*[F.lit(x).cast("long") for x in spelled.get(n, (0, 0))]) for n in names])
+    for i, k in enumerate(("inconsistent_category_count", "possible_spelling_variation_count")):
+        joined = joined.withColumn(k, F.get(counts, F.array_position(F.lit(names), F.col("name")).cast("int") - 1)[f"col{i + 1}"])
     key = (F.col("rows") > 0) & (F.col("filled") == F.col("rows")) & (F.col("unique_count") == F.col("rows"))
     return joined.withColumn("candidate_key", key).drop("rows", "filled")
 
@@ -157,6 +162,11 @@ def table_warnings(columns: list[dict], rows: dict, duplicate_headers: list[str]
         ("suspicious_emails", "warning", any(c["suspicious_email_count"] for c in columns)),
         ("suspicious_phones", "warning", any(c["suspicious_phone_count"] for c in columns)),
         ("invalid_dates", "warning", any(c["invalid_date_count"] for c in columns)),
+        (
+            "category_variations",
+            "info",
+            any(c["inconsistent_category_count"] + c["possible_spelling_variation_count"] for c in columns),
+        ),
     ):
         if holds:
             found.append((code, severity))

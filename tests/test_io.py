@@ -81,6 +81,17 @@ def test_profile(spark):
     assert profile.variations(spelled, "C") == (2, 3)
 
 
+def test_profile_counts_variations(spark):
+    rows = [("New York", 1, "x"), ("new  york", 2, "y"), ("New-York", 3, "z"), ("Rome", 4, None)]
+    df = spark.createDataFrame(rows, "`a.C` string, n int, other string")
+    found = {r["name"]: r.asDict() for r in profile.profile_columns(df).collect()}
+    got = {n: (r["inconsistent_category_count"], r["possible_spelling_variation_count"]) for n, r in found.items()}
+    assert got == {"a.C": (2, 3), "n": (0, 0), "other": (0, 0)}
+    counts = {"blank_rows": 0, "duplicate_rows": 0}
+    assert profile.table_warnings(list(found.values()), counts, []) == [("category_variations", "info")]
+    assert profile.table_warnings([found["n"], found["other"]], counts, []) == []
+
+
 @pytest.mark.parametrize("text", ["=SUM(A1:A2)", "+cmd", "-1+2", "@lookup", " \t=x", "﻿=x", "​@x", "＝x"])
 def test_formula_guard(spark, text):
     df = spark.createDataFrame([(text,), ("plain",), (None,), ("'=x",)], "t string")
