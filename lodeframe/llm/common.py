@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,6 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
 #: Rows in a batch to and from Python, where whole texts go there.
 TEXT_ROWS = 2_000
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_batch_lock = threading.RLock()  # one at a time changes the setting, which all threads of a session share
 
 
 def written(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
@@ -45,13 +47,16 @@ def written(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(BATCH)
     if batch:
-        spark.conf.set(BATCH, str(min(batch, int(before)) if int(before) > 0 else batch))
-    try:
+        with _batch_lock:
+            before = spark.conf.get(BATCH)
+            spark.conf.set(BATCH, str(min(batch, int(before)) if int(before) > 0 else batch))
+            try:
+                df.write.parquet(path)
+            finally:
+                spark.conf.set(BATCH, before)
+    else:
         df.write.parquet(path)
-    finally:
-        spark.conf.set(BATCH, before)
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return spark.read.schema(df.schema).parquet(path)
@@ -70,6 +75,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
+    """Chen and Goodman's discounts for counts of 1, 2 and more, from how many counts are 1, 2, 3 and 4."""
+    y = n1 / (n1 + 2 * n2) if n1 else 0.5
+    pairs = ((1, n1, n2), (2, n2, n3), (3, n3, n4))
+    return tuple(min(k, max(0.1, k - (k + 1) * y * b / a)) if a else 0.5 * k for k, a, b in pairs)
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as long; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
