@@ -5,8 +5,8 @@ addresses, dotted card numbers, long-form IP addresses). Labelers then vote for
 each candidate: the format's own check, a gazetteer (top-level domains, issuers, calling codes, address ranges), the
 words before it, and its neighbours. How often each combination of votes occurs in the whole corpus, a table of at most
 4 * 3**4 rows, is all that expectation-maximisation needs to estimate each labeler's reliability for each kind, and
-a logistic regression on the votes, fitted to the posterior probabilities, is the classifier that decides on the looser
-candidates. Spans of the base patterns that pass their checks are always kept.
+a logistic regression on the votes and on features of the span that no labeler looks at, fitted to the posterior
+probabilities, is the classifier that decides on the looser candidates. Spans of the base patterns that pass their checks are always kept.
 
 Every step on texts is a Spark expression. No pattern repeats a group without bound, so that texts of any length and
 content match in constant stack.
@@ -15,7 +15,10 @@ content match in constant stack.
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,8 @@ from .common import quoted, written
 #: Kinds in the order of the output.
 KINDS = ("email", "ip", "card", "phone")
 VOTES = ("format", "gazetteer", "context", "neighbours")
+#: What the classifier sees of a span besides, each from 0 to 3.
+FEATURES = ("size", "digits", "joints", "company")
 
 # Patterns of the base kinds. They are applied to a text in which JOINT stands for each single space or
 # hyphen between digits (card), or each dot between the labels of a domain (email). Starting only where a run starts, or
@@ -61,34 +66,78 @@ CALLING_CODES = r"^\+?(?:1|7|2[0-9]|3[0-9]|4[0-9]|5[1-8]|6[0-6]|8[1-6]|9[0-8])"
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[4-9]|6[0-9])"
 
 SPAN = "array<struct<start:bigint,stop:bigint,found:string,before:string,after:string>>"
+#: Code points before a span that the labelers see.
+SEEN = 40
+#: Elements of arrays that are gone through together, so that a text of n matches takes n * BLOCK steps, not n * n.
+BLOCK = 256
+
+
+def _let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` the value, which is worked out once even if lambdas use it for each of their elements."""
+    return F.get(F.transform(F.array(value), of), 0)
+
+
+def _blocks(items: Column, of: Callable[[Column, Column], Column]) -> Column:
+    """``of`` each block of an array and the elements before it, SEEN at most. An empty array is one empty block."""
+
+    def each(i: Column) -> Column:
+        first = i * BLOCK
+        return of(F.slice(items, first + 1, F.lit(BLOCK)), F.slice(items, F.greatest(first + 1 - SEEN, F.lit(1)), F.least(first, F.lit(SEEN))))
+
+    last = F.greatest(F.floor((F.size(items) - 1) / BLOCK), F.lit(0)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), each)
 
 
 def matched(text: Column, pattern: str, wanted: Column) -> Column:
-    """All matches of a pattern in a text where ``wanted``, in order: SPAN, positions in code points, stop exclusive."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    n = F.size(found)
-    parts = F.zip_with(
-        F.zip_with(F.slice(between, 1, n), found, lambda b, m: F.struct(b.alias("b"), m.alias("m"))),
-        F.slice(between, 2, n),
-        lambda x, a: F.struct(x["b"].alias("b"), x["m"].alias("m"), a.alias("a")),
+    """All matches of a pattern in a text where ``wanted``, in order: SPAN, positions in code points, stop exclusive;
+    before holds the text's SEEN code points before the match, other matches among them.
+
+    Each match's position is the sum of the lengths before it, which are added up by blocks."""
+    both = F.struct(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between")
+    )
+    parts = lambda s: F.transform(
+        s["found"],
+        lambda m, i: F.struct(F.get(s["between"], i).alias("b"), m.alias("m"), F.left(F.get(s["between"], i + 1), F.lit(1)).alias("a")),
+    )
+    block = lambda own, earlier: F.struct(
+        own.alias("own"),
+        F.aggregate(own, F.lit(0).cast("long"), lambda n, p: n + F.length(p["b"]) + F.length(p["m"])).alias("length"),
+        F.right(F.array_join(F.transform(earlier, lambda p: F.concat(p["b"], p["m"])), ""), F.lit(SEEN)).alias("tail"),
     )
-    none = F.array().cast(SPAN)
-    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans"))
 
     def step(state: Column, part: Column) -> Column:
         begin = state["at"] + F.length(part["b"])
         stop = begin + F.length(part["m"])
+        before = F.right(F.concat(state["tail"], part["b"]), F.lit(SEEN))
         span = F.struct(
-            begin.alias("start"),
-            stop.alias("stop"),
-            part["m"].alias("found"),
-            F.right(part["b"], F.lit(40)).alias("before"),
-            F.left(part["a"], F.lit(1)).alias("after"),
+            begin.alias("start"), stop.alias("stop"), part["m"].alias("found"), before.alias("before"), part["a"].alias("after")
+        )
+        return F.struct(
+            stop.alias("at"),
+            F.right(F.concat(before, part["m"]), F.lit(SEEN)).alias("tail"),
+            F.concat(state["spans"], F.array(span)).alias("spans"),
         )
-        return F.struct(stop.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
 
-    return F.when(wanted, F.aggregate(parts, start, step, lambda s: s["spans"])).otherwise(none)
+    none = F.array().cast(SPAN)
+    start = F.array(F.lit(0).cast("long"))
+    sums = lambda blocks: F.aggregate(blocks, start, lambda at, x: F.concat(at, F.array(F.element_at(at, -1) + x["length"])))
+    spans = lambda s: F.flatten(
+        F.transform(
+            s["blocks"],
+            lambda x, i: F.aggregate(
+                x["own"],
+                F.struct(F.get(s["sums"], i).alias("at"), x["tail"].alias("tail"), none.alias("spans")),
+                step,
+                lambda state: state["spans"],
+            ),
+        )
+    )
+    found = _let(
+        _let(_let(both, parts), lambda p: _blocks(p, block)),
+        lambda blocks: _let(F.struct(blocks.alias("blocks"), sums(blocks).alias("sums")), spans),
+    )
+    return F.when(wanted, found).otherwise(none)
 
 
 def _digits(found: Column) -> Column:
@@ -135,6 +184,19 @@ def votes(kind: str, base: bool, span: Column) -> list[Column]:
     ]
 
 
+def features(span: Column) -> list[Column]:
+    """What the classifier sees of a span, in the order of FEATURES: its length, how much of it is digits, how many
+    characters join its parts, and how many digits stand shortly before it."""
+    found, size, digits = span["found"], F.length(span["found"]), F.length(_digits(span["found"]))
+    joints = size - F.length(F.translate(found, " .-()@:" + JOINT, ""))
+    return [
+        F.least(F.floor(size / 8), F.lit(3)),
+        F.floor(3 * digits / size),
+        F.least(joints, F.lit(3)),
+        F.least(F.floor(F.length(_digits(span["before"])) / 4), F.lit(3)),
+    ]
+
+
 def _wanted(text: Column, kind: str, base: bool) -> Column:
     """A cheap condition without which a pattern can't match."""
     if kind == "email":
@@ -150,6 +212,8 @@ def _candidates(text: Column, kind: str, base: bool) -> Column:
         # JOINT in the text itself gives way, so that it marks joints only; lengths stay
         searched = F.regexp_replace(F.translate(text, JOINT, "?"), JOINTS[kind], JOINT)
     number = KINDS.index(kind)
+    # of the numbers, only those of a phone's or card's length at least; what is shorter is no candidate
+    least = {"card": 12, "phone": 7}.get(kind, 0)
 
     def voted(span: Column) -> Column:
         if base and kind == "email":
@@ -161,9 +225,12 @@ def _candidates(text: Column, kind: str, base: bool) -> Column:
             span["stop"].alias("stop"),
             (F.lit(base) & checked(kind, span["found"])).alias("base"),
             *[v.cast("int").alias(n) for v, n in zip(votes(kind, base, span), VOTES)],
+            *[x.cast("int").alias(n) for x, n in zip(features(span), FEATURES)],
         )
 
-    return F.transform(matched(searched, (BASE if base else LOOSE)[kind], _wanted(text, kind, base)), voted)
+    found = matched(searched, (BASE if base else LOOSE)[kind], _wanted(text, kind, base))
+    long = F.filter(found, lambda x: F.length(_digits(x["found"])) >= least) if least else found
+    return F.transform(long, voted)
 
 
 def candidates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -206,26 +273,31 @@ def reliabilities(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int
 
 
 def span_classifier(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int = 400) -> list[list[float]]:
-    """For each kind the constant and the votes' weights of a logistic regression, fitted to the posteriors of
-    reliabilities() by gradient descent. A kind without candidates rejects."""
-    known = reliabilities(patterns)
+    """For each kind the constant and the weights of a logistic regression, from (kind, seen, count), where seen are
+    the votes and then the features. It is fitted to the posteriors that reliabilities() gives the votes, by gradient
+    descent. A kind without candidates rejects."""
+    width = max((len(seen) for _, seen, _ in patterns), default=len(VOTES))
+    voted: Counter = Counter()
+    for kind, seen, n in patterns:
+        voted[kind, seen[: len(VOTES)]] += n
+    known = reliabilities([(k, v, n) for (k, v), n in sorted(voted.items())])
     out = []
     for kind in range(len(KINDS)):
-        own = [(v, n) for k, v, n in patterns if k == kind]
+        own = [(seen, n) for k, seen, n in patterns if k == kind]
         if not own:
-            out.append([-1.0] + [0.0] * len(VOTES))
+            out.append([-1.0] + [0.0] * width)
             continue
-        belief, total = known[kind][2], sum(n for _, n in own)
-        beta = [0.0] * (1 + len(VOTES))
+        x = np.array([(1, *seen) for seen, _ in own], dtype=float)
+        share = np.array([n for _, n in own], dtype=float)
+        share /= share.sum()
+        belief = np.array([known[kind][2][seen[: len(VOTES)]] for seen, _ in own])
+        x[:, 1 + len(VOTES) :] /= 3
+        beta = np.zeros(1 + width)
         for _ in range(rounds):
-            gradient = [1e-3 * b for b in beta]
-            for v, n in own:
-                x = (1, *v)
-                p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(b * y for b, y in zip(beta, x))))))
-                for i, y in enumerate(x):
-                    gradient[i] += n / total * (p - belief[v]) * y
-            beta = [b - g for b, g in zip(beta, gradient)]
-        out.append(beta)
+            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+            beta -= x.T @ (share * (p - belief)) + 1e-3 * beta
+        beta[1 + len(VOTES) :] /= 3
+        out.append(beta.tolist())
     return out
 
 
@@ -233,28 +305,44 @@ def personal_data(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     """doc_id, base and spans for each row of ``docs``: arrays of (start, kind, stop), by start, then kind as in KINDS.
 
     base are the checked matches of the base patterns; spans has these and the candidates that the classifier accepts
-    and that overlap none of them. Null and empty texts have none. Repeated rows and ids stand for themselves.
+    and that overlap none of them. Null and empty texts have none, and neither does an empty table have rows. Repeated
+    rows and ids stand for themselves. Texts are searched whole, in time that grows with their length; the spans of a
+    text have to fit into one row. Other columns are not read, whatever their names.
     """
     found = candidates(docs, id_column, text)
     each = found.select(F.explode("c").alias("x")).select("x.*")
-    counted = each.groupBy("kind", *VOTES).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 4 * 3**4 rows
-    patterns = sorted((r["kind"], tuple(r[v] for v in VOTES), r["n"]) for r in counted)
+    names = (*VOTES, *FEATURES)
+    counted = each.groupBy("kind", *names).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 4 * 3**4 * 4**4 rows
+    patterns = sorted((r["kind"], tuple(r[v] for v in names), r["n"]) for r in counted)
     weights = span_classifier(patterns)
     slim = lambda x: F.struct(x["start"], x["kind"], x["stop"])
-    base = F.array_sort(F.transform(F.filter("c", lambda x: x["base"]), slim))
+
+    weights = [w + [0.0] * (1 + len(names) - len(w)) for w in weights]  # an empty table has no features
 
     def accepted(x: Column) -> Column:
         of = lambda i: F.get(F.array(*[F.lit(float(w[i])) for w in weights]), x["kind"])
         score = of(0)
-        for i, name in enumerate(VOTES):
+        for i, name in enumerate(names):
             score = score + of(i + 1) * x[name]
         return score > 0
 
-    more = F.filter("c", lambda x: ~x["base"] & (x["format"] >= 0) & accepted(x))
-    with_base = found.withColumn("base", base)
-    free = F.filter(more, lambda x: ~F.exists("base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
-    spans = F.array_sort(F.array_union(F.col("base"), F.transform(free, slim)))
-    return with_base.select("doc_id", "base", spans.alias("spans"))
+    block = lambda own, _: F.struct(
+        own.alias("own"), F.get(own, 0)["start"].alias("start"), F.array_max(F.transform(own, lambda b: b["stop"])).alias("stop")
+    )
+    meets = lambda a, b: (a["start"] < b["stop"]) & (b["start"] < a["stop"])
+
+    def with_more(s: Column) -> Column:
+        taken = lambda x: F.exists(s["blocks"], lambda k: meets(k, x) & F.exists(k["own"], lambda b: meets(b, x)))
+        more = F.filter(s["c"], lambda x: ~x["base"] & (x["format"] >= 0) & accepted(x))
+        free = F.filter(more, lambda x: ~F.coalesce(taken(x), F.lit(False)))
+        return F.struct(s["base"].alias("base"), F.array_sort(F.concat(s["base"], F.transform(free, slim))).alias("spans"))
+
+    base = F.array_sort(F.transform(F.filter("c", lambda x: x["base"]), slim))
+    both = _let(
+        base,
+        lambda b: _let(F.struct(F.col("c").alias("c"), b.alias("base"), _blocks(b, block).alias("blocks")), with_more),
+    )
+    return found.select("doc_id", both.alias("x")).select("doc_id", "x.base", "x.spans")
 
 
 def spans_text(spans: Column) -> Column:

@@ -1,9 +1,12 @@
 import hashlib
+import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from lodeframe.llm.pii import KINDS, op6_pii, personal_data, reliabilities, span_classifier
+from lodeframe.llm.pii import KINDS, matched, op6_pii, personal_data, reliabilities, span_classifier
 
 # the base patterns as they are stated
 STATED = [
@@ -83,3 +86,45 @@ def test_reliabilities_prefer_labelers_that_agree():
 
 def test_empty_table(spark):
     assert personal_data(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_many_matches_in_one_text(spark):
+    rng = random.Random(7)
+    some = [lambda: str(rng.randrange(10**9)), lambda: f"u{rng.randrange(99)}@h{rng.randrange(99)}.io", lambda: "10.0.0.%d" % rng.randrange(300), lambda: "+49 30 %07d" % rng.randrange(10**7)]
+    text = " ".join(rng.choice(some)() for _ in range(3_000)) + " é😀 a@b.co"
+    (row,) = personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [tuple(x) for x in row["base"]] == base(text) and set(row["base"]) <= set(row["spans"])
+
+
+def test_a_long_text_of_numbers(spark):
+    text = "tel 555 123-4567, " * 30_000 + "1234567 " * 60_000  # 1 MB
+    began = time.monotonic()
+    (row,) = personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert time.monotonic() - began < 60 and row["base"] == [] and len(row["spans"]) in (0, 30_000)
+
+
+def test_context_reaches_past_neighbouring_matches(spark):
+    text = "cards: 4111111111111111, 5500005555555559 12 34"
+    docs = spark.createDataFrame([(text,)], "text string")
+    (row,) = docs.select(matched(F.col("text"), "[0-9]{2,}", F.lit(True)).alias("m")).collect()
+    assert [(x["start"], x["stop"], x["before"]) for x in row["m"]] == [
+        (m.start(), m.end(), text[max(0, m.start() - 40) : m.start()]) for m in re.finditer("[0-9]{2,}", text)
+    ]
+    many = " ".join(f"{i:02d}" for i in range(700)) * 2
+    (row,) = spark.createDataFrame([(many,)], "text string").select(matched(F.col("text"), "[0-9]{2,}", F.lit(True)).alias("m")).collect()
+    assert [(x["start"], x["stop"], x["found"], x["before"]) for x in row["m"]] == [
+        (m.start(), m.end(), m[0], many[max(0, m.start() - 40) : m.start()]) for m in re.finditer("[0-9]{2,}", many)
+    ]
+
+
+def test_features_decide_where_votes_tie():
+    patterns = [(3, (1, 1, 0, 1, 1, 3, 0, 0), 50), (3, (-1, -1, 0, -1, 3, 0, 3, 3), 50), (3, (1, 0, 0, -1, 1, 3, 0, 0), 9), (3, (1, 0, 0, -1, 3, 0, 3, 3), 9)]
+    weights = span_classifier(patterns)[3]
+    score = lambda x: weights[0] + sum(w * v for w, v in zip(weights[1:], x))
+    assert score(patterns[0][1]) > 0 > score(patterns[1][1]) and score(patterns[2][1]) > score(patterns[3][1])
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a@b.co", "x", [1], 5)], "doc_id long, text string, base string, c array<int>, kind int")
+    (row,) = personal_data(docs).collect()
+    assert row.asDict().keys() == {"doc_id", "base", "spans"} and len(row["base"]) == 1
