@@ -100,48 +100,50 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(same / F.size(a))
 
 
-def bucketed(rows: DataFrame, order: str, bucket: str) -> DataFrame:
-    """``rows`` with a bucket number that grows with the column ``order`` (longs): about as many rows in each of BUCKETS
-    buckets for a shuffle partition. Null is bucket 0."""
+def bucketed(rows: DataFrame, order: str, tie: str, bucket: str) -> DataFrame:
+    """``rows`` with a bucket number that grows with the columns ``order`` and ``tie`` (longs): about as many rows in
+    each of BUCKETS buckets for a shuffle partition. An order that fills buckets by itself, and null, which comes first, are
+    dealt by equal ranges of the tie; only rows equal in both can't be told apart."""
     n = partitions(rows.sparkSession) * BUCKETS
     shares = F.lit(np.arange(1, n) / n)
-    bounds = rows.agg(F.percentile_approx(order, shares, 100 * n).alias("b")).first()["b"]
-    bounds = np.array(sorted(set(bounds or [])), dtype=np.int64)
-    if not len(bounds):
-        return rows.withColumn(bucket, F.when(F.col(order).isNull(), 0).otherwise(1))
-    table, steps = F.lit(bounds), [1 << k for k in reversed(range(len(bounds).bit_length()))]
-    found = F.aggregate(  # the number of bounds below, by bisection
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda at, step: F.when((at + step <= len(bounds)) & (F.get(table, at + step - 1) < F.col(order)), at + step).otherwise(at),
-    )
-    return rows.withColumn(bucket, F.when(F.col(order).isNull(), 0).otherwise(found + 1))
+    found = rows.agg(F.percentile_approx(order, shares, 100 * n).alias("b")).first()["b"] or []
+    bounds, times = np.unique(np.array(found, dtype=np.int64), return_counts=True)
+    below, crowded = F.lit(0), F.lit(False)
+    if len(bounds):
+        table, steps = F.lit(bounds), [1 << k for k in reversed(range(len(bounds).bit_length()))]
+        below = F.aggregate(  # the number of bounds below, by bisection
+            F.array(*[F.lit(s) for s in steps]),
+            F.lit(0),
+            lambda at, step: F.when((at + step <= len(bounds)) & (F.get(table, at + step - 1) < F.col(order)), at + step).otherwise(at),
+        )
+        crowded = F.array_contains(F.lit(bounds[times > 1]), F.col(order)) if (times > 1).any() else crowded
+    missing = F.col(order).isNull()
+    part = F.floor((F.col(tie) / float(1 << 64) + 0.5) * n).cast("long")
+    held = F.greatest(F.least(part, F.lit(n - 1).cast("long")), F.lit(0).cast("long"))
+    at = F.when(missing, -1).when(crowded, below * 2 + 1).otherwise(below * 2).cast("long")
+    return rows.withColumn(bucket, at * n + F.when(missing | crowded, held).otherwise(0))
 
 
 def first_of_next(firsts: DataFrame, column: str) -> DataFrame:
-    """(bucket, after): what the next bucket begins with, and the first one after the last. firsts: a row for each
-    bucket that has rows (bucket, column)."""
+    """(of, after): for each bucket what the next one begins with, and the first one after the last. firsts: a stored
+    row for each bucket that has rows (bucket, column). Only bucket numbers, at most one for each range of ids, are put in
+    order in one task; what buckets begin with is joined to them."""
     order = Window.partitionBy(F.lit(0)).orderBy("bucket")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return firsts.select(
-        F.col("bucket").alias("of"),
-        F.when(F.lead("bucket").over(order).isNull(), F.first(column).over(whole))
-        .otherwise(F.lead(column).over(order))
-        .alias("after"),
-    )
+    following = F.coalesce(F.lead("bucket").over(order), F.min("bucket").over(Window.partitionBy(F.lit(0))))
+    numbers = firsts.select(F.col("bucket").alias("of"), following.alias("following"))
+    return numbers.join(firsts, F.col("following") == F.col("bucket")).select("of", F.col(column).alias("after"))
 
 
 def edited_neighbours(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """bucket, place, doc_id, text (null is empty) and edited: the text whose last floor(n / 4) of n code points are
     replaced by the first as many (or all) of the next document by id; the first follows the last. Null ids come first;
-    equal ids go by a hash of their texts. Dealt by bucket; texts are shuffled once."""
+    equal ids go by a hash of their texts, and a document alone is its own next. Ids have to be whole numbers; others that
+    don't cast to long raise. Dealt by bucket; texts are shuffled once, whatever their length. Empty tables give empty ones."""
     rows = docs.select(quoted(id_column).cast("long").alias("doc_id"), F.coalesce(quoted(text), F.lit("")).alias("text"))
-    rows = bucketed(rows, "doc_id", "bucket").withColumn("tie", F.xxhash64("text"))
+    rows = bucketed(rows.withColumn("tie", F.xxhash64("text")), "doc_id", "tie", "bucket")
     n = partitions(docs.sparkSession) * BUCKETS
-    firsts = rows.groupBy("bucket").agg(
-        F.min_by("text", F.struct("doc_id", "tie")).alias("text")
-    )
-    after = written(first_of_next(firsts, "text"), "fingerprint-firsts")
+    firsts = written(rows.groupBy("bucket").agg(F.min_by("text", F.struct("doc_id", "tie")).alias("text")), "fingerprint-firsts")
+    after = written(first_of_next(firsts, "text"), "fingerprint-after")
     own = Window.partitionBy("bucket").orderBy("doc_id", "tie")
     dealt = rows.repartition(n, "bucket").select(
         "bucket", "doc_id", "text", F.row_number().over(own).alias("place"), F.lead("text").over(own).alias("next")
@@ -158,8 +160,9 @@ def edited_neighbours(docs: DataFrame, id_column: str = "doc_id", text: str = "t
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and signature of each text, null for texts without words, null texts among them. Equal texts have equal
-    signatures whatever their ids and other columns."""
+    """doc_id and signature of each row's text, null for texts without words, null texts among them. Equal texts have
+    equal signatures whatever their ids and other columns; a very long text is one weighted set of words like any other,
+    added up by word. Repeated rows and ids stand for themselves; empty tables give empty ones."""
     rows = docs.select(
         F.monotonically_increasing_id().alias("uid"),
         quoted(id_column).alias("doc_id"),
@@ -188,7 +191,8 @@ def op4_fingerprints(spark, sf_dir: str) -> DataFrame:
         "bucket", "place", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
     )
     rows = written(plain.join(pairs.hint("merge"), ["bucket", "place"]), "fingerprints")
-    after = first_of_next(rows.where("place = 1").select("bucket", F.struct("own").alias("own")), "own")
+    firsts = written(rows.where("place = 1").select("bucket", F.struct("own").alias("own")), "fingerprint-first-own")
+    after = first_of_next(firsts, "own")
     following = F.lead(F.struct("own")).over(Window.partitionBy("bucket").orderBy("place"))
     with_next = rows.withColumn("next", following).join(after, F.col("bucket") == F.col("of"), "left")
     next_own = F.coalesce("next", "after")["own"]

@@ -60,3 +60,22 @@ def test_query(spark, tmp_path):
     assert by_id[20]["fingerprint"] == by_id[21]["fingerprint"] == "" and by_id[20]["near_next"] == 1.0 and by_id[21]["near_next"] == 0.0
     assert by_id[22]["fingerprint"] == by_id[23]["fingerprint"] and by_id[22]["near_next"] == 1.0
     assert len(by_id[0]["fingerprint"]) == 4 * fingerprints.SAMPLES and by_id[0]["near_edited"] > by_id[0]["near_next"]
+
+
+def test_one_id_and_null_ids_in_many_rows(spark):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i} " + "x" * (i % 40), 1, "x") for i in range(600)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    tie = {r["text"]: r["h"] for r in docs.selectExpr("text", "xxhash64(text) AS h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]]))
+    texts = [r[1] for r in order]
+    wanted = sorted((str(r[0]), t, t[: len(t) - len(t) // 4] + n[: len(t) // 4]) for r, t, n in zip(order, texts, texts[1:] + texts[:1]))
+    out = fingerprints.edited_neighbours(docs).collect()
+    assert sorted((str(r["doc_id"]), r["text"], r["edited"]) for r in out) == wanted
+    sizes = Counter(r["bucket"] for r in out)
+    assert max(sizes.values()) < 60 and len({r["bucket"] for r in out if r["doc_id"] == 7}) > 5
+
+
+def test_clashing_columns_and_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "a b", 2, "c")], "doc_id long, text string, uid int, signature string")
+    assert fingerprints.fingerprints(docs).columns == ["doc_id", "signature"]
+    assert fingerprints.fingerprints(docs.limit(0)).collect() == []
