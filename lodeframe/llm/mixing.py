@@ -13,10 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, fresh, partitions, quoted, word_count, written
+from .common import SPACE, WORD, fresh, if_small, partitions, quoted, word_count, written
 
 #: Ranges of the key for each shuffle partition.
 RANGES = 4
+#: A block of ranges holds so many bits of their numbers.
+BLOCK_BITS = 5
 
 
 def hash_key(doc_id: Column, seed: str = "mix") -> Column:
@@ -70,13 +72,14 @@ def mix(
     share: float = 1.5,
     limit: float = 2.0,
     seed: str = "mix",
+    tie: str | None = None,
 ) -> DataFrame:
     """``rows`` with source_size, target and taken; columns of ``rows`` with these names are replaced.
 
     ``size`` is a column of longs; null counts as 0. taken is what the mix takes of the row, in the unit of size:
     whole epochs first, then the rows in order of their keys up to the source's budget (its target, rounded down), so
     that the row at the cut is taken in part and the sums meet every budget exactly. Rows with equal ids are ordered by
-    size, and rows equal in both can stand for each other. Null ids are one such group, a null source is a source. Empty tables
+    size, then by the column ``tie`` if one is named, and rows equal in all can stand for each other. Null ids are one such group, a null source is a source. Empty tables
     give empty results. ``rows`` is read three times: give a stored table.
     """
     spark = rows.sparkSession
@@ -109,11 +112,19 @@ def mix(
     )
     own = [n["sid"], n["range"]]
     sums = ranged.groupBy(*own).agg(F.sum(n["size"]).alias("range_size"))
-    earlier = Window.partitionBy(n["sid"]).orderBy(n["range"]).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*own, F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).alias(n["offset"]))
+    # ranges are added up by blocks of them, so that no task sees all ranges of a large source
+    sums = sums.withColumn("block", F.shiftright(n["range"], BLOCK_BITS))
+    earlier = lambda last, *by: Window.partitionBy(*by).orderBy(last).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda x, w: F.coalesce(F.sum(x).over(w), F.lit(0))
+    blocks = sums.groupBy(n["sid"], "block").agg(F.sum("range_size").alias("block_size"))
+    blocks = blocks.select(n["sid"], "block", before("block_size", earlier("block", n["sid"])).alias("blocks_before"))
+    sums = sums.withColumn("ranges_before", before("range_size", earlier(n["range"], n["sid"], "block")))
+    offsets = sums.join(blocks, [n["sid"], "block"]).select(
+        *own, (F.col("blocks_before") + F.col("ranges_before")).alias(n["offset"])
+    )
     within = (
         Window.partitionBy(*own)
-        .orderBy(n["key"], quoted(id_column), n["size"])
+        .orderBy(n["key"], quoted(id_column), n["size"], *([quoted(tie)] if tie else []))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     placed = ranged.withColumn(n["before"], F.coalesce(F.sum(n["size"]).over(within), F.lit(0)))
@@ -130,35 +141,80 @@ def mix(
     )
 
 
-def mixed_documents(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", **options) -> DataFrame:
+def source_cuts(plan: DataFrame, order: Sequence[str]) -> DataFrame:
+    """What the mix takes of each source, from a stored result of mix() with columns source and size, and the columns
+    ``order`` by which it went: source, epochs, cut (the columns ``order`` of the first row with words that isn't taken
+    once more; null if there is none), at_cut (how many rows are equal to it), extra (the words that these are taken
+    for beyond the epochs). A stored row for each source."""
+    budget = F.floor("target").cast("long")
+    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
+    rows = plan.where("size > 0").select("source", "size", F.struct(*order).alias("at"), epochs.alias("epochs"), (F.col("taken") - epochs * F.col("size")).alias("more"))
+    cuts = rows.groupBy("source", "epochs").agg(F.min(F.when(F.col("more") < F.col("size"), F.col("at"))).alias("cut"))
+    cuts = if_small(written(cuts, "mix-cuts"))
+    of = cuts.select(F.col("source").alias("of"), "cut")
+    equal = rows.join(of, F.col("source").eqNullSafe(F.col("of")) & F.col("at").eqNullSafe(F.col("cut")))
+    sums = equal.groupBy(F.col("of")).agg(F.count(F.lit(1)).alias("at_cut"), F.sum("more").alias("extra"))
+    found = cuts.join(sums, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    return written(found, "mix-cuts-met")
+
+
+def mixed_documents(
+    docs: DataFrame, text: str = "text", n_chars: str = "n_chars", id_column: str = "doc_id", source: str = "source", **options
+) -> DataFrame:
     """The mix itself: each document as often as it is taken, under the columns of ``docs``.
 
     A document that the budget cuts comes once more with its first words only, white space as it was, and with its
-    n_chars (if there is such a column) brought up to date. Documents without words are in no mix.
+    n_chars (if there is such a column) brought up to date. Documents without words are in no mix. Only ids and sizes are
+    mixed; as a source's rows are taken whole up to one of them, a row for each source tells every document how often it
+    comes, where its text is. Rows that are equal in id and text take turns at a cut, and only those are brought together.
     """
-    size, copy, part, words = (fresh(docs, n) for n in ("__words", "__copy", "__part", "__kept_words"))
-    sized = docs.withColumn(size, word_count(quoted(text)))
-    # a column that mix() would replace travels under another name
-    aside = {c: fresh(docs, f"__of_{c}") for c in docs.columns if c.lower() in ("source_size", "target", "taken")}
-    plan = mix(sized.withColumnsRenamed(aside), size=size, **options).where(F.col("taken") > 0)
-    whole = F.floor(F.col("taken") / F.col(size)).cast("int")
-    rest = (F.col("taken") % F.col(size)).cast("int")
-    copies = plan.withColumn(part, rest).withColumn(
-        copy, F.explode(F.sequence(F.lit(1), whole + F.when(rest > 0, 1).otherwise(0)))
-    )
-    cut = F.col(copy) > whole
+    seed = options.pop("seed", "mix")
+    key = hash_key(quoted(id_column), seed)
+    tie = F.xxhash64(F.coalesce(quoted(text), F.lit("")))
+    size = word_count(quoted(text))
+    slim = docs.select(quoted(id_column).alias("id"), quoted(source).alias("source"), size.alias("size"), tie.alias("tie"), key.alias("key"))
+    order = ("key", "id", "size", "tie")
+    plan = mix(written(slim, "mix-sizes"), id_column="id", seed=seed, tie="tie", **options)
+    cuts = source_cuts(written(plan, "mix-plan"), order)
+    single = (cuts.agg(F.max("at_cut")).first()[0] or 0) <= 1
+
+    names = ("of", "epochs", "cut", "at_cut", "extra", "key", "side", "words", "rank", "copy", "text")
+    n = {x: fresh(docs, f"__mixed_{x}") for x in names}
+    cuts = if_small(cuts.withColumnsRenamed({"source": n["of"], **{x: n[x] for x in ("epochs", "cut", "at_cut", "extra")}}))
+    found = docs.withColumn(n["key"], key).where(quoted(text).rlike(WORD))
+    found = found.join(cuts, quoted(source).eqNullSafe(F.col(n["of"])))
+    own, cut = F.struct(F.col(n["key"]).alias("key"), quoted(id_column).alias("id")), F.struct(F.col(n["cut"])["key"].alias("key"), F.col(n["cut"])["id"].alias("id"))
+    whole = F.struct(size.alias("size"), tie.alias("tie"))
+    rest = F.struct(F.col(n["cut"])["size"].alias("size"), F.col(n["cut"])["tie"].alias("tie"))
+    compared = lambda a, b, equal: F.when(a < b, -1).when(a > b, 1).otherwise(equal)
+    # words are counted only where a row has the id of the cut
+    found = found.withColumn(n["side"], F.when(F.col(n["cut"]).isNull(), -1).otherwise(compared(own, cut, compared(whole, rest, F.lit(0)))))
+    words = F.when(F.col(n["side"]) == 0, F.col(n["cut"])["size"])
+    if single:
+        ranked = found.withColumn(n["rank"], F.lit(1))
+    else:
+        by = Window.partitionBy(n["of"]).orderBy(F.lit(0))
+        ranked = found.where(F.col(n["side"]) != 0).withColumn(n["rank"], F.lit(1))
+        ranked = ranked.unionByName(found.where(F.col(n["side"]) == 0).withColumn(n["rank"], F.row_number().over(by)))
+    left = F.col(n["extra"]) - (F.col(n["rank"]) - 1) * words
+    own_extra = F.greatest(F.least(left, words), F.lit(0).cast("long"))
+    # of the last copy, so many words; null where it is whole
+    part = F.when((F.col(n["side"]) == 0) & (own_extra > 0) & (own_extra < words), own_extra).cast("int")
+    more = F.when(F.col(n["side"]) < 0, 1).when((F.col(n["side"]) == 0) & (own_extra > 0), 1).otherwise(0)
+    ranked = ranked.withColumn(n["words"], part).withColumn(n["at_cut"], (F.col(n["epochs"]) + more).cast("int"))
+    copies = ranked.where(F.col(n["at_cut"]) > 0).withColumn(n["copy"], F.explode(F.sequence(F.lit(1), F.col(n["at_cut"]))))
+    short = (F.col(n["copy"]) == F.col(n["at_cut"])) & F.col(n["words"]).isNotNull()
     pieces = F.regexp_extract_all(quoted(text), F.lit(rf"[{SPACE}]*{WORD}"), F.lit(0))
-    shortened = F.when(cut, F.array_join(F.slice(pieces, 1, F.col(part)), "")).otherwise(quoted(text))
-    out = copies.withColumn(words, shortened)
-    back = {v: k for k, v in aside.items()}
+    shortened = F.when(short, F.array_join(F.slice(pieces, 1, F.col(n["words"])), "")).otherwise(quoted(text))
+    out = copies.withColumn(n["text"], shortened)
     columns = []
     for c in docs.columns:
         if c == text:
-            columns.append(F.col(words).alias(c))
+            columns.append(F.col(n["text"]).alias(c))
         elif c == n_chars:
-            columns.append(F.when(cut, F.length(words)).otherwise(quoted(c)).cast(docs.schema[c].dataType).alias(c))
+            columns.append(F.when(short, F.length(n["text"])).otherwise(quoted(c)).cast(docs.schema[c].dataType).alias(c))
         else:
-            columns.append(quoted(aside.get(c, c)).alias(back.get(c, c)))
+            columns.append(quoted(c))
     return out.select(*columns)
 
 

@@ -2,6 +2,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodeframe.llm.common import word_count
 from lodeframe.llm.mixing import mix, mixed_documents
@@ -76,3 +77,21 @@ def test_texts_without_words_are_in_no_mix(spark):
     docs = spark.createDataFrame([(1, " ", "a"), (2, None, "a"), (3, "", None)], "doc_id long, text string, source string")
     assert [r["taken"] for r in mix(docs.withColumn("size", word_count(docs["text"]))).collect()] == [0, 0, 0]
     assert mixed_documents(docs).count() == 0
+
+
+@pytest.mark.parametrize("share", [0.37, 1.13, 1.5])
+def test_the_mix_is_what_is_taken(spark, share):
+    rows = [(i % 9 if i % 4 else None, " x" * (1 + i % 5) + f" {i % 3}", "ab"[i % 2] if i % 5 else None, i) for i in range(120)]
+    rows += [(3, "same same same", "a", 0)] * 40 + [(None, "same same", "b", 0)] * 40 + [(4, "", "a", 0), (5, None, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, of int").drop("of").repartition(4)
+    sized = docs.select("*", word_count(docs["text"]).alias("size"), F.xxhash64("text").alias("tie"))
+    wanted, got = Counter(), Counter()
+    for r in mix(sized, share=share, tie="tie").where("taken > 0").collect():
+        wanted[r["doc_id"], r["source"], r["text"][:8]] += r["taken"]
+    out = mixed_documents(docs, share=share).collect()
+    for r in out:
+        got[r["doc_id"], r["source"], r["text"][:8] if r["text"] in {x[1] for x in rows} else "cut"] += len(r["text"].split())
+    cuts = [r for r in out if r["text"] not in {x[1] for x in rows}]
+    assert sum(got.values()) == sum(wanted.values()) and len(cuts) <= 3
+    by_id = lambda c: {k: sum(n for (i, s, _), n in c.items() if (i, s) == k) for k in {(i, s) for i, s, _ in c}}
+    assert by_id(got) == by_id(wanted)
