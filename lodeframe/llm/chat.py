@@ -7,10 +7,10 @@ training loss may count: what the assistant says there, with the mark that ends
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted
+from .common import let, quoted, sums_before
 
 START, MIDDLE, END = "<|", "|>\n", "<|end|>\n"
 
@@ -26,41 +26,33 @@ def rendered(turns: Column) -> Column:
 
 def mask(turns: Column, role: str = "assistant") -> Column:
     """Spans (start, stop) of code points in the rendered turns that are the role's words and end marks."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("spans"))
-
-    def step(state: Column, turn: Column) -> Column:
-        begin = state["at"] + F.length(_head(turn))
-        stop = begin + F.length(turn["text"]) + len(END.rstrip("\n"))
-        span = F.array(F.struct(begin.alias("start"), stop.alias("stop")))
-        return F.struct(
-            (stop + 1).alias("at"),
-            F.when(turn["role"] == role, F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"),
-        )
+    length = F.transform(turns, lambda t: (F.length(_head(t)) + F.length(t["text"]) + len(END)).cast("long"))
 
-    return F.aggregate(turns, start, step, lambda state: state["spans"])
+    def spans(s: Column) -> Column:
+        span = lambda t, i: F.struct(
+            (t["role"] == role).alias("own"),
+            (F.get(s["at"], i) + F.length(_head(t))).alias("start"),
+            (F.get(s["at"], i + 1) - 1).alias("stop"),
+        )
+        own = F.filter(F.transform(s["turns"], span), lambda x: x["own"])
+        return F.transform(own, lambda x: F.struct(x["start"], x["stop"]))
 
+    return let(F.struct(turns.alias("turns"), sums_before(length).alias("at")), spans)
 
-def preference_pairs(turns: DataFrame, trained_role: str = "assistant") -> DataFrame:
-    """Formats pairs given by their turns: pair_id, side ('chosen' or 'rejected'), turn, role, text.
 
-    Returns pair_id, prompt, prompt_turns, and for either side its completion, its turns there (``_turns``) and mask
-    (``_mask``, spans of code points in the completion). Turns are ordered by turn, then role, then text, so that rows
-    in any order give one result; null texts are empty, null roles are '' and null turns come first. A pair of which one
-    side is missing has a null completion there, an empty prompt and the other side whole. Where one conversation is
-    the beginning of the other, its completion is empty; where both are equal, both are. A null pair_id is a pair.
-    Other sides and columns are not read. A conversation has to fit into one row, as its rendering does.
-    """
-    turn = F.struct(
-        quoted("turn").alias("turn"),
-        F.coalesce(quoted("role").cast("string"), F.lit("")).alias("role"),
-        F.coalesce(quoted("text").cast("string"), F.lit("")).alias("text"),
-    )
-    of = lambda side: F.array_sort(F.collect_list(F.when(quoted("side") == side, turn)))
-    pairs = turns.where(quoted("side").isin("chosen", "rejected")).groupBy("pair_id").agg(
-        of("chosen").alias("c"), of("rejected").alias("r")
+def _turn(text: Column) -> Column:
+    """A turn as it is ordered: by turn (null first), role, text."""
+    return F.struct(
+        quoted("turn").alias("turn"), F.coalesce(quoted("role").cast("string"), F.lit("")).alias("role"), text.alias("text")
     )
-    for side in "cr":
-        pairs = pairs.withColumn(side, F.transform(side, lambda t: F.struct(t["role"], t["text"])))
+
+
+def formatted(pairs: DataFrame, trained_role: str = "assistant") -> DataFrame:
+    """pairs (pair_id, chosen, rejected: arrays of turns (turn, role, text) in any order; empty or null where the side is
+    missing), formatted as preference_pairs() says. Row by row, without a shuffle."""
+    sides = {"c": "chosen", "r": "rejected"}
+    said = lambda c: F.transform(F.array_sort(F.coalesce(quoted(c), F.array())), lambda t: F.struct(t["role"], t["text"]))
+    pairs = pairs.select("pair_id", *[said(name).alias(side) for side, name in sides.items()])
     least = F.least(F.size("c"), F.size("r"))
     same = F.zip_with(F.slice("c", 1, least), F.slice("r", 1, least), lambda a, b: (a["role"] == b["role"]) & (a["text"] == b["text"]))
     first_other = F.array_position(same, F.lit(False)).cast("int")
@@ -70,7 +62,7 @@ def preference_pairs(turns: DataFrame, trained_role: str = "assistant") -> DataF
         rendered(F.slice("c", 1, F.col("n"))).alias("prompt"),
         F.col("n").cast("long").alias("prompt_turns"),
     ]
-    for side, name in (("c", "chosen"), ("r", "rejected")):
+    for side, name in sides.items():
         rest = F.slice(side, F.col("n") + 1, F.size(side))
         there = F.size(side) > 0
         columns += [
@@ -81,36 +73,70 @@ def preference_pairs(turns: DataFrame, trained_role: str = "assistant") -> DataF
     return pairs.select(*columns)
 
 
-def swapped_pairs(conversations: DataFrame) -> DataFrame:
-    """Pairs out of plain conversations (conv_id, turn, role, text), for preference formatting.
+def preference_pairs(turns: DataFrame, trained_role: str = "assistant") -> DataFrame:
+    """Formats pairs given by their turns: pair_id, side ('chosen' or 'rejected'), turn, role, text.
+
+    Returns pair_id, prompt, prompt_turns, and for either side its completion, its turns there (``_turns``) and mask
+    (``_mask``, spans of code points in the completion). Turns are ordered by turn, then role, then text, so that rows
+    in any order give one result and repeated rows are repeated turns; null texts are empty, null roles are '' and null
+    turns come first. A pair of which one side is missing has a null completion there, an empty prompt and the other side
+    whole. Where one conversation is the beginning of the other, its completion is empty; where both are equal, both are.
+    A null pair_id is a pair. Other sides and columns are not read, whatever their names; an empty table gives an empty
+    one. A conversation of any length has to fit into one row, as its rendering does.
+    """
+    turn = _turn(F.coalesce(quoted("text").cast("string"), F.lit("")))
+    of = lambda side: F.collect_list(F.when(quoted("side") == side, turn)).alias(side)
+    pairs = turns.where(quoted("side").isin("chosen", "rejected")).groupBy("pair_id").agg(of("chosen"), of("rejected"))
+    return formatted(pairs, trained_role)
+
+
+def swapped_conversations(conversations: DataFrame) -> DataFrame:
+    """Pairs out of plain conversations (conv_id, turn, role, text): pair_id, chosen and rejected, for formatted().
 
     Each conversation is chosen. Its rejected side has the same turns, but what the assistant says last comes from the
     other conversation of the same two (ids 2k and 2k + 1). A conversation without such a turn, or whose other one has
-    none, has no rejected side.
+    none, has no rejected side. Both conversations of two are brought together once.
     """
-    order = Window.partitionBy("conv_id").orderBy(F.col("said").desc(), F.col("turn").desc(), F.col("text").desc())
-    said = (F.col("role") == "assistant").cast("int")
-    rows = conversations.select(
-        quoted("conv_id").alias("conv_id"), quoted("turn").alias("turn"), quoted("role").alias("role"), quoted("text").alias("text")
-    )
-    marked = rows.withColumn("said", F.coalesce(said, F.lit(0))).withColumn("place", F.row_number().over(order))
-    marked = marked.withColumn("last", (F.col("place") == 1) & (F.col("said") == 1))
-    other = marked.where("last").select(
-        (F.col("conv_id") + F.when(F.col("conv_id") % 2 == 0, 1).otherwise(-1)).alias("other_of"),
-        F.col("text").alias("other_text"),
-    )
-    own = marked.where("last").select(F.col("conv_id").alias("own_of")).join(
-        other, F.col("own_of") == F.col("other_of")
-    ).select("own_of", F.coalesce("other_text", F.lit("")).alias("other_text"))
-    rejected = marked.join(own, F.col("conv_id") == F.col("own_of")).select(
-        F.col("conv_id").alias("pair_id"),
-        F.lit("rejected").alias("side"),
-        "turn",
-        "role",
-        F.when(F.col("last"), F.col("other_text")).otherwise(F.col("text")).alias("text"),
+    text = F.coalesce(quoted("text").cast("string"), F.lit(""))
+    half = F.shiftright(quoted("conv_id").cast("long"), 1)
+    row = F.struct(quoted("conv_id").alias("conv_id"), _turn(text).alias("turn"))
+    two = conversations.groupBy(half.alias("half")).agg(F.collect_list(row).alias("rows"))
+    each = two.select("rows", F.explode(F.array_distinct(F.transform("rows", lambda x: x["conv_id"]))).alias("pair_id"))
+
+    def last_said(turns: Column) -> Column:
+        said = F.filter(turns, lambda t: t["role"] == "assistant")
+        return F.array_max(F.transform(said, lambda t: F.struct(t["turn"], t["text"])))
+
+    def both(s: Column) -> Column:
+        """From turns, other turns: the turns and, if there is such a pair, the swapped ones. Every value that a lambda uses
+        for each turn is bound, as an expression would be worked out for each."""
+        last = F.struct(s["turns"].alias("turns"), last_said(s["turns"]).alias("last"), last_said(s["others"]).alias("other"))
+
+        def placed(x: Column) -> Column:
+            is_last = lambda t: (t["role"] == "assistant") & F.struct(t["turn"], t["text"]).eqNullSafe(x["last"])
+            place = F.array_position(F.transform(x["turns"], is_last), F.lit(True))
+            return F.struct(x["turns"].alias("turns"), x["last"].alias("last"), x["other"].alias("other"), place.alias("place"))
+
+        def swapped(x: Column) -> Column:
+            text = lambda t, i: F.when(i + 1 == x["place"], x["other"]["text"]).otherwise(t["text"])
+            instead = lambda t, i: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), text(t, i).alias("text"))
+            rejected = F.when(x["last"].isNotNull() & x["other"].isNotNull(), F.transform(x["turns"], instead))
+            return F.struct(x["turns"].alias("chosen"), rejected.alias("rejected"))
+
+        return let(let(last, placed), swapped)
+
+    turns_of = lambda same: F.transform(
+        F.filter("rows", lambda x: x["conv_id"].eqNullSafe(F.col("pair_id")) == F.lit(same)), lambda x: x["turn"]
     )
-    chosen = rows.select(F.col("conv_id").alias("pair_id"), F.lit("chosen").alias("side"), "turn", "role", "text")
-    return chosen.unionByName(rejected)
+    sides = let(F.struct(turns_of(True).alias("turns"), turns_of(False).alias("others")), both)
+    return each.select("pair_id", sides.alias("s")).select("pair_id", "s.chosen", "s.rejected")
+
+
+def swapped_pairs(conversations: DataFrame) -> DataFrame:
+    """The pairs of swapped_conversations() by their turns, for preference_pairs()."""
+    pairs = swapped_conversations(conversations)
+    of = lambda side: pairs.select("pair_id", F.lit(side).alias("side"), F.explode(side).alias("t")).select("pair_id", "side", "t.*")
+    return of("chosen").unionByName(of("rejected"))
 
 
 def spans_text(spans: Column) -> Column:
@@ -118,7 +144,7 @@ def spans_text(spans: Column) -> Column:
 
 
 def op10_chat_format(spark, sf_dir: str) -> DataFrame:
-    pairs = preference_pairs(swapped_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    pairs = formatted(swapped_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
     return pairs.withColumnRenamed("pair_id", "conv_id").withColumns(
         {c: spans_text(F.col(c)) for c in ("chosen_mask", "rejected_mask")}
     )

@@ -6,6 +6,7 @@ import os
 import tempfile
 import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -87,6 +88,47 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Elements of arrays that are gone through together, so that n of them take n * BLOCK steps, not n * n.
+BLOCK = 256
+
+
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` the value, which is worked out once even if lambdas use it for each of their elements."""
+    return F.get(F.transform(F.array(value), of), 0)
+
+
+def blocks(items: Column, of: Callable[[Column, Column], Column], seen: int = 0) -> Column:
+    """``of`` each block of an array and the elements before it, ``seen`` at most. An empty array is one empty block."""
+
+    def each(i: Column) -> Column:
+        first = i * BLOCK
+        return of(F.slice(items, first + 1, F.lit(BLOCK)), F.slice(items, F.greatest(first + 1 - seen, F.lit(1)), F.least(first, F.lit(seen))))
+
+    last = F.greatest(F.floor((F.size(items) - 1) / BLOCK), F.lit(0)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), each)
+
+
+def sums_before(numbers: Column) -> Column:
+    """For each of an array of longs the sum of those before it, and at the end that of all; added up by blocks."""
+
+    def running(items: Column, first: Column) -> Column:
+        return F.aggregate(items, F.array(first), lambda at, x: F.concat(at, F.array(F.element_at(at, -1) + x)))
+
+    zero = F.lit(0).cast("long")
+    total = lambda own, _: F.aggregate(own, zero, lambda n, x: n + x)
+    inner = lambda n: let(
+        running(blocks(n, total), zero),
+        lambda starts: let(
+            blocks(n, lambda own, _: own),
+            lambda parts: F.concat(
+                F.flatten(F.transform(parts, lambda own, i: F.slice(running(own, F.get(starts, i)), 1, F.size(own)))),
+                F.array(F.element_at(starts, -1)),
+            ),
+        ),
+    )
+    return let(numbers, inner)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or with underscores before it, such that no column of ``df`` is called so (case-insensitively)."""
     taken = {c.lower() for c in df.columns}

@@ -16,13 +16,12 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, written
+from .common import blocks, let, quoted, written
 
 #: Kinds in the order of the output.
 KINDS = ("email", "ip", "card", "phone")
@@ -68,24 +67,6 @@ ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[4-9]|6[0-9])"
 SPAN = "array<struct<start:bigint,stop:bigint,found:string,before:string,after:string>>"
 #: Code points before a span that the labelers see.
 SEEN = 40
-#: Elements of arrays that are gone through together, so that a text of n matches takes n * BLOCK steps, not n * n.
-BLOCK = 256
-
-
-def _let(value: Column, of: Callable[[Column], Column]) -> Column:
-    """``of`` the value, which is worked out once even if lambdas use it for each of their elements."""
-    return F.get(F.transform(F.array(value), of), 0)
-
-
-def _blocks(items: Column, of: Callable[[Column, Column], Column]) -> Column:
-    """``of`` each block of an array and the elements before it, SEEN at most. An empty array is one empty block."""
-
-    def each(i: Column) -> Column:
-        first = i * BLOCK
-        return of(F.slice(items, first + 1, F.lit(BLOCK)), F.slice(items, F.greatest(first + 1 - SEEN, F.lit(1)), F.least(first, F.lit(SEEN))))
-
-    last = F.greatest(F.floor((F.size(items) - 1) / BLOCK), F.lit(0)).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), each)
 
 
 def matched(text: Column, pattern: str, wanted: Column) -> Column:
@@ -121,7 +102,7 @@ def matched(text: Column, pattern: str, wanted: Column) -> Column:
 
     none = F.array().cast(SPAN)
     start = F.array(F.lit(0).cast("long"))
-    sums = lambda blocks: F.aggregate(blocks, start, lambda at, x: F.concat(at, F.array(F.element_at(at, -1) + x["length"])))
+    sums = lambda parts: F.aggregate(parts, start, lambda at, x: F.concat(at, F.array(F.element_at(at, -1) + x["length"])))
     spans = lambda s: F.flatten(
         F.transform(
             s["blocks"],
@@ -133,9 +114,9 @@ def matched(text: Column, pattern: str, wanted: Column) -> Column:
             ),
         )
     )
-    found = _let(
-        _let(_let(both, parts), lambda p: _blocks(p, block)),
-        lambda blocks: _let(F.struct(blocks.alias("blocks"), sums(blocks).alias("sums")), spans),
+    found = let(
+        let(let(both, parts), lambda p: blocks(p, block, SEEN)),
+        lambda x: let(F.struct(x.alias("blocks"), sums(x).alias("sums")), spans),
     )
     return F.when(wanted, found).otherwise(none)
 
@@ -338,9 +319,9 @@ def personal_data(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
         return F.struct(s["base"].alias("base"), F.array_sort(F.concat(s["base"], F.transform(free, slim))).alias("spans"))
 
     base = F.array_sort(F.transform(F.filter("c", lambda x: x["base"]), slim))
-    both = _let(
+    both = let(
         base,
-        lambda b: _let(F.struct(F.col("c").alias("c"), b.alias("base"), _blocks(b, block).alias("blocks")), with_more),
+        lambda b: let(F.struct(F.col("c").alias("c"), b.alias("base"), blocks(b, block).alias("blocks")), with_more),
     )
     return found.select("doc_id", both.alias("x")).select("doc_id", "x.base", "x.spans")
 

@@ -1,4 +1,7 @@
-from lodeframe.llm.chat import preference_pairs, swapped_pairs
+from pyspark.sql import functions as F
+
+from lodeframe.llm.chat import formatted, preference_pairs, swapped_conversations, swapped_pairs
+from lodeframe.llm.common import sums_before
 
 SCHEMA = "pair_id long, side string, turn long, role string, text string, chosen string"
 
@@ -46,3 +49,30 @@ def test_swapped_pairs(spark):
     rejected = sorted((r["pair_id"], r["turn"], r["text"]) for r in out if r["side"] == "rejected")
     assert rejected == [(0, 0, "q"), (0, 1, "a0"), (0, 2, "a1"), (1, 0, "r"), (1, 1, "b0")]
     assert sum(r["side"] == "chosen" for r in out) == len(rows)
+
+
+def test_both_ways_give_the_same(spark):
+    rows = [(c, t, ["user", "assistant", None][(c + t) % 3], None if t == 4 else f"{c % 4} é{t}") for c in range(-3, 40) for t in range(c % 6)]
+    rows += [(None, 1, "assistant", "x"), (7, 3, "assistant", "twice"), (7, 3, "assistant", "twice"), (8, None, "assistant", "null turn")]
+    talk = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    one, other = formatted(swapped_conversations(talk)), preference_pairs(swapped_pairs(talk))
+    assert one.columns == other.columns and sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+
+
+def test_a_conversation_of_very_many_turns(spark):
+    turns = 20_000
+    talk = spark.range(turns * 2).select((F.col("id") / turns).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), F.lit("ab").alias("text"))
+    talk = talk.withColumn("text", F.when(F.col("turn") % turns == 0, F.concat("text", F.col("conv_id").cast("string"))).otherwise(F.col("text")))
+    talk = talk.withColumn("turn", F.when(F.col("turn") % turns == 0, turns).otherwise(F.col("turn") % turns))  # the odd one comes last
+    rows = formatted(swapped_conversations(talk)).collect()
+    for r in rows:
+        assert r["prompt_turns"] == turns - 1 and r["chosen"] != r["rejected"] and len(r["chosen_mask"]) == 1
+    chosen = talk.select(F.col("conv_id").alias("pair_id"), F.lit("chosen").alias("side"), "turn", "role", "text")
+    (row,) = preference_pairs(chosen.where("pair_id = 0")).collect()
+    assert len(row["chosen_mask"]) == turns and all(row["chosen"][a:b].endswith("<|end|>") for a, b in row["chosen_mask"])
+
+
+def test_sums_before(spark):
+    for n in (0, 1, 255, 256, 257, 1000):
+        (row,) = spark.range(1).select(sums_before(F.transform(F.slice(F.sequence(F.lit(0), F.lit(1000)), 1, n), lambda x: x.cast("long"))).alias("s")).collect()
+        assert row["s"] == [i * (i - 1) // 2 for i in range(n + 1)]
