@@ -5,13 +5,14 @@ from __future__ import annotations
 from typing import Literal
 
 from pydantic import Field
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.core import ORDER, ROW_ID, EngineError, blank, is_hidden, kind, position, pystr, qcol, require_columns, require_new, visible, with_columns
 from ..plans.identity import identified
 from .base import Counts, OpResult, Params, operator
+from .grouping import with_figures
 
 
 class MergeRule(Params):
@@ -84,25 +85,20 @@ def handle_duplicates(df: DataFrame, p: Duplicates) -> OpResult:
     require_columns(df, keys)
     if ROW_ID not in df.columns:
         df = identified(df)
-    own = Window.partitionBy(*key_columns(df, keys))
-    at = position(df)
-    size = F.count(F.lit(1)).over(own)
+    at, own = position(df), key_columns(df, keys)
+    groups = df.select(*[c.alias(f"k{i}") for i, c in enumerate(own)]).groupBy(*[f"k{i}" for i in range(len(own))]).count()
+    surplus_rows = F.sum("count") - F.count(F.lit(1))
     if p.mode == "mark":
         require_new(df, [p.marker_column])
-        marked = with_columns(df, {p.marker_column: size > 1})
-        first = F.row_number().over(own.orderBy(at)) == 1
-        counts = Counts(
-            df.select((size > 1).alias("g"), (~first).alias("s")),
-            {"duplicate_rows": F.sum(F.col("s").cast("long")), "duplicate_group_rows": F.sum(F.col("g").cast("long"))},
-        )
-        return OpResult(marked, counts=counts)
+        sized = with_figures(df, own, {"__lf_size": F.count(F.lit(1))})
+        marked = with_columns(sized, {p.marker_column: F.col("__lf_size") > 1}).drop("__lf_size")
+        several = F.sum(F.when(F.col("count") > 1, F.col("count")))
+        return OpResult(marked, counts=Counts(groups, {"duplicate_rows": surplus_rows, "duplicate_group_rows": several}))
     if p.mode == "merge_complementary":
-        merged = _merged(df, keys, p)
-        groups = df.select(*[c.alias(f"k{i}") for i, c in enumerate(key_columns(df, keys))]).groupBy(*[f"k{i}" for i in range(len(keys))]).count()
-        return OpResult(merged, counts=Counts(groups, {"duplicate_rows": F.sum("count") - F.count(F.lit(1))}))
-    rank = F.row_number().over(own.orderBy(at.asc() if p.keep == "first" else at.desc()))
-    ranked = df.withColumn("__lf_rank", rank)
-    kept = ranked.where(F.col("__lf_rank") == 1).drop("__lf_rank")
-    surplus = ranked.where(F.col("__lf_rank") > 1).drop("__lf_rank")
-    counts = Counts(ranked, {"duplicate_rows": F.sum((F.col("__lf_rank") > 1).cast("long"))})
+        return OpResult(_merged(df, keys, p), counts=Counts(groups, {"duplicate_rows": surplus_rows}))
+    best = F.min(at) if p.keep == "first" else F.max(at)
+    ranked = with_figures(df, own, {"__lf_best": best})
+    kept = ranked.where(at == F.col("__lf_best")).drop("__lf_best")
+    surplus = ranked.where(at != F.col("__lf_best")).drop("__lf_best")
+    counts = Counts(groups, {"duplicate_rows": surplus_rows})
     return OpResult(kept, aux={p.duplicate_table_name: surplus} if p.mode == "move" else {}, counts=counts)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -44,8 +46,9 @@ def groups(pairs: list[tuple[int, int]]) -> dict[int, int]:
 def fuzzy_review(df: DataFrame, p: FuzzyReview) -> OpResult:
     """Numbers groups of rows whose texts resemble one another; removes nothing.
 
-    The comparison is quadratic by nature and therefore refused above the parameters' bounds, which also bound the
-    links that reach the driver. A difference in length alone rules most pairs out before they are compared.
+    The comparison is quadratic by nature and therefore refused above the parameters' bounds. Texts meet by a join on
+    classes of lengths, as those whose lengths differ too much can't be alike; of the links that a task finds, only a
+    forest that connects the same rows reaches the driver, fewer than there are rows.
     """
     require_columns(df, p.columns)
     require_new(df, [p.marker_column])
@@ -73,10 +76,27 @@ def fuzzy_review(df: DataFrame, p: FuzzyReview) -> OpResult:
     def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
         return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
 
-    left, right = slim.where(F.length("t") > 0).toDF("a", "s"), slim.toDF("b", "u")
+    # of two texts that are alike, the longer has at most (2 - t) / t times the shorter one's length, so that they are in
+    # one class of lengths or in neighbouring ones
+    t = p.threshold
+    length = F.length("t")
+    step = math.log((2 - t) / t)
+    at = F.floor(F.log(length.cast("double")) / F.lit(step) + 1e-9).cast("long") if step > 0 else length.cast("long")
+    filled = slim.where(length > 0).withColumn("at", at)
+    reach = F.array(F.col("at") - 1, F.col("at"), F.col("at") + 1) if step > 0 else F.array("at")
+    left, right = filled.select("i", "t", F.explode(reach).alias("at")).toDF("a", "s", "at"), filled.toDF("b", "u", "at")
     short = F.least(F.length("s"), F.length("u")) * 2.0 / (F.length("s") + F.length("u"))
-    near = left.join(right, (F.col("a") < F.col("b")) & (short >= p.threshold))
-    links = near.where(ratio("s", "u") >= p.threshold).select("a", "b").collect()
+    near = left.join(right, "at").where((F.col("a") < F.col("b")) & (short >= t))
+
+    def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        links: list[tuple[int, int]] = []
+        for batch in batches:
+            links += zip(batch["a"].tolist(), batch["b"].tolist())
+            links = [(root, x) for x, root in groups(links).items() if x != root]
+        yield pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    alike = near.where(ratio("s", "u") >= t).select("a", "b")
+    links = alike.mapInPandas(forest, "a long, b long").collect()
     found = groups([(r["a"], r["b"]) for r in links])
     numbers = {root: k + 1 for k, root in enumerate(sorted(set(found.values())))}
     marks = [(place, numbers[root]) for place, root in sorted(found.items())]

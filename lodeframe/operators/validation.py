@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.core import ORDER, ROW_ID, as_date, blank, member, num, pystr, qcol, require_columns, ustrip, visible
 from ..plans.identity import identified, numbered
 from .base import Counts, OpResult, Params, operator
+from .grouping import with_figures
 from .standardise import EMAIL
 
 Scalar = bool | int | float | str | None
@@ -137,6 +138,11 @@ class Report:
         return not any(i.severity == "error" for i in self.issues)
 
 
+def size_of(r: DuplicateId) -> str:
+    """The column that holds how many rows share a row's key; validate_table() adds it."""
+    return "__lf_size_" + "_".join(r.columns)
+
+
 def bad_rows(df: DataFrame, r: Any) -> list[tuple[str, str, str | None, Column]]:
     """(code, message, column, whether a row breaks the rule) for each check of a rule on rows."""
     if isinstance(r, RequiredFields):
@@ -144,8 +150,7 @@ def bad_rows(df: DataFrame, r: Any) -> list[tuple[str, str, str | None, Column]]
         return [("missing_required", f"{c} is required", c, blank(qcol(c))) for c in r.columns]
     if isinstance(r, DuplicateId):
         require_columns(df, r.columns)
-        own = Window.partitionBy(*[qcol(c) for c in r.columns])
-        return [("duplicate_id", "keys occur more than once", ", ".join(r.columns), F.count(F.lit(1)).over(own) > 1)]
+        return [("duplicate_id", "keys occur more than once", ", ".join(r.columns), qcol(size_of(r)) > 1)]
     if isinstance(r, FormulaErrors):
         names = r.columns or visible(df)
         require_columns(df, names)
@@ -198,7 +203,11 @@ def validate_table(df: DataFrame, rules: list, original_headers: list[str] | Non
             checks += bad_rows(df, r)
     if rows and checks and ROW_ID not in df.columns:
         df = identified(df)
-    marked = df.select(*[qcol(c) for c in (*visible(df), ROW_ID, ORDER) if c in df.columns], *[x[3].alias(f"__lf_bad{i}") for i, x in enumerate(checks)])
+    sized = df
+    for r in rules:
+        if isinstance(r, DuplicateId) and size_of(r) not in sized.columns:
+            sized = with_figures(sized, [qcol(c) for c in r.columns], {size_of(r): F.count(F.lit(1))})
+    marked = sized.select(*[qcol(c) for c in (*visible(df), ROW_ID, ORDER) if c in df.columns], *[x[3].alias(f"__lf_bad{i}") for i, x in enumerate(checks)])
     sums = [F.coalesce(F.sum(F.col(f"__lf_bad{i}").cast("long")), F.lit(0)) for i in range(len(checks))]
     found = marked.agg(F.lit(0), *sums, *[x for _, x in totals]).first()[1:] if sums or totals else []
     flags = [c for c in marked.columns if c in (ROW_ID, ORDER) or c.startswith("__lf_bad")]
