@@ -3,8 +3,10 @@
 A task tokenizes texts and cuts overlong ones into full windows; what is left of each document is shorter than a
 window. Those remainders are dealt by a hash into shards of about ``SHARD`` documents, whatever the size of the input,
 and each shard is packed by itself: remainders in falling order go to the open sequence with the least room that still
-takes them, found by a segment tree over the remaining room. A sequence that stays open at a shard's end with much room
-is dissolved into sequences of a power of two tokens each, which take no padding.
+takes them, found by a segment tree over the remaining room. The documents of sequences that stay open at a shard's end
+with much room meet those of other shards in further rounds. What the last round leaves open is cut into powers of two,
+which fill sequences to the end; if one sequence still has much room, each of its pieces becomes a sequence of its own,
+of a power of two tokens, which takes no padding.
 """
 
 from __future__ import annotations
@@ -173,64 +175,123 @@ def tokenized(
     return written(rows.mapInPandas(encode, schema), "pack-tokens", TEXT_ROWS)
 
 
-def pieces(tokens: DataFrame, window: int = 2048) -> DataFrame:
-    """Where each piece of the documents of ``tokens`` goes: uid, doc_id, start, length, ids_crc32, doc_tokens,
-    sequence_id and offset. Each sequence lies in one shard; its shard is in the upper bits of its id."""
-    shards = max(1, -(-tokens.count() // SHARD))
-    kind = tokens.schema["doc_id"].dataType.simpleString()
-    schema = f"uid long, doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECE = "uid long, doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+
+
+def _shard_packer(window: int, turn: int, cut: bool, last: bool):
+    """For applyInPandas over a shard: uid, doc_id, doc_tokens, start and length of what is to be placed (in round 0 null:
+    whole documents, whose full windows are given out), crcs and parts. The pieces; and for a sequence that has much room
+    what it holds, with parts and without a sequence_id: that is left for another round. With ``cut`` the documents in such
+    sequences are cut into powers of two, which fill sequences to the end, before anything is left. The last round leaves
+    nothing: what one open sequence holds is a power of two for each binary digit of its length."""
+
+    def loose(filled: int) -> bool:
+        return window - filled > window * OPEN and filled & (filled - 1) != 0
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("uid", ignore_index=True)
-        total = rows["doc_tokens"].tolist()
-        crcs, parts = rows["crcs"].tolist(), rows["parts"].tolist()
-        rest = [n % window for n in total]
-        with_rest = [i for i, n in enumerate(rest) if n]
-        placed = best_fit_decreasing([rest[i] for i in with_rest], window)
-        fill: dict[int, int] = {}
-        for i, (sequence, _) in zip(with_rest, placed):
-            fill[sequence] = fill.get(sequence, 0) + rest[i]
-        made = len(fill)
-        out = []
-        for i, (sequence, offset) in zip(with_rest, placed):
-            start, room = total[i] - rest[i], window - fill[sequence]
-            if room <= window * OPEN or fill[sequence] & (fill[sequence] - 1) == 0:
-                out.append((i, start, rest[i], crcs[i][-1], sequence, offset))
-                continue
-            for size, crc in zip(powers_of_two(rest[i]), parts[i]):
-                out.append((i, start, size, crc, made, 0))
-                start, made = start + size, made + 1
-        for i, n in enumerate(total):
-            for k in range(n // window):
-                out.append((i, k * window, window, crcs[i][k], made, 0))
+        rows = rows.sort_values(["uid", "start"], ignore_index=True)
+        total, crcs, parts = (rows[c].tolist() for c in ("doc_tokens", "crcs", "parts"))
+        out: list[tuple] = []  # row, start, length, crc, sequence, offset
+        made = 0
+
+        def place(items: list[tuple]) -> list[list[tuple]]:
+            """Places items (row, start, length, crc) in sequences; what loose ones hold is returned."""
+            nonlocal made
+            sequences: dict[int, list[tuple]] = {}
+            for x, (sequence, offset) in zip(items, best_fit_decreasing([x[2] for x in items], window)):
+                sequences.setdefault(sequence, []).append((*x, offset))
+            again = []
+            for held in sequences.values():
+                if loose(sum(x[2] for x in held)):
+                    again.append([x[:4] for x in held])
+                    continue
+                out.extend((*x[:4], made, x[4]) for x in held)
                 made += 1
-        at = [x[0] for x in out]
-        base = int(key[0]) << 40
+            return again
+
+        if turn:
+            items = list(zip(range(len(rows)), rows["start"].tolist(), rows["length"].tolist(), [c[-1] for c in crcs]))
+        else:
+            items = [(i, n - n % window, n % window, crcs[i][-1]) for i, n in enumerate(total) if n % window]
+            for i, n in enumerate(total):
+                for k in range(n // window):
+                    out.append((i, k * window, window, crcs[i][k], made, 0))
+                    made += 1
+        left = place(items)
+        if cut:
+            small = []
+            for i, start, length, _ in [x for held in left for x in held]:
+                for size, crc in zip(powers_of_two(length), parts[i]):
+                    small.append((i, start, size, crc))
+                    start += size
+            left = place(small)
+        if last:
+            for held in left:  # all are powers of two, which fill these rooms without a gap
+                rooms = [[made + k, 0, n] for k, n in enumerate(powers_of_two(sum(x[2] for x in held)))]
+                made += len(rooms)
+                for x in sorted(held, key=lambda x: -x[2]):
+                    room = next(r for r in rooms if r[2] - r[1] >= x[2])
+                    out.append((*x, room[0], room[1]))
+                    room[1] += x[2]
+            left = []
+        rest = [x for held in left for x in held]
+        base = turn << 58 | int(key[0]) << 30
+        both = [x[:4] for x in out] + rest
+        none = [None] * len(rest)
         return pd.DataFrame(
             {
-                "uid": rows["uid"].take(at).array,
-                "doc_id": rows["doc_id"].take(at).array,
-                "start": [x[1] for x in out],
-                "length": [x[2] for x in out],
-                "ids_crc32": [x[3] for x in out],
-                "doc_tokens": [total[i] for i in at],
-                "sequence_id": [base | x[4] for x in out],
-                "offset": [x[5] for x in out],
+                "uid": rows["uid"].take([x[0] for x in both]).array,
+                "doc_id": rows["doc_id"].take([x[0] for x in both]).array,
+                **{n: pd.array([x[k] for x in both], dtype="int64") for k, n in ((1, "start"), (2, "length"), (3, "ids_crc32"))},
+                "doc_tokens": [total[x[0]] for x in both],
+                "sequence_id": pd.array([base | x[4] for x in out] + none, dtype="Int64"),
+                "offset": pd.array([x[5] for x in out] + none, dtype="Int64"),
+                "crcs": [None] * len(out) + [[x[3]] for x in rest],
+                "parts": [None] * len(out) + [[x[3]] if cut else parts[x[0]] for x in rest],
             }
         )
 
-    slim = tokens.select(
-        (F.abs(F.xxhash64("uid")) % shards).alias("shard"), "uid", "doc_id", "doc_tokens", "crcs", "parts"
-    )
-    return slim.groupBy("shard").applyInPandas(pack, schema)
+    return pack
+
+
+def pieces(tokens: DataFrame, window: int = 2048) -> DataFrame:
+    """Where each piece of the documents of ``tokens`` goes: uid, doc_id, start, length, ids_crc32, doc_tokens,
+    sequence_id and offset. Each sequence lies in one shard of one round, which are in the upper bits of its id.
+
+    What a round leaves, a few documents of each shard, is dealt into shards again, until it is one shard. Documents are
+    cut to fill sequences in the last round, or earlier where a round has left more than half of the tokens; one that leaves
+    more than half of what is cut already is followed by the last, so that rounds are log2(tokens) at most."""
+    names = [c.split()[0] for c in PIECE.split(", ")]
+    schema = PIECE.format(kind=tokens.schema["doc_id"].dataType.simpleString()) + ", crcs array<long>, parts array<long>"
+    none = F.lit(None).cast("long")
+    size = F.coalesce("length", F.col("doc_tokens") % window)
+    left, turn, done, cut, last, before = tokens.withColumns({"start": none, "length": none}), 0, None, False, False, 0
+    while True:
+        n, held = left.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+        if turn:  # a round in which less than half was placed calls for cutting, then for an end
+            cut, last = cut or held > before // 2, cut and held > before // 2
+        # a shard of what is left holds some windows at least, and so at most the pieces of 8 windows and a SHARD
+        shards = max(1, min(-(-n // SHARD), held // (8 * window) if turn else n))
+        last = last or shards == 1
+        shard = F.pmod(F.xxhash64("uid", "start", F.lit(turn)), F.lit(shards)).alias("shard")
+        slim = left.select(shard, "uid", "doc_id", "doc_tokens", "start", "length", "crcs", "parts")
+        found = slim.groupBy("shard").applyInPandas(_shard_packer(window, turn, cut or last, last), schema)
+        if last:
+            found = found.select(*names)
+            return found if done is None else done.unionByName(found)
+        found = written(found, "pack-pieces")
+        placed = found.where("sequence_id IS NOT NULL").select(*names)
+        done = placed if done is None else done.unionByName(placed)
+        left, before, turn = found.where("sequence_id IS NULL"), held, turn + 1
 
 
 def packed_documents(docs: DataFrame, window: int = 2048, **options) -> DataFrame:
     """Pieces of all documents in sequences of at most ``window`` tokens, each id in exactly one piece.
 
     A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Null and empty texts are
-    documents of their end id alone. Rows with equal ids are documents of their own; null ids stay null. Columns of
-    ``docs`` beyond id and text are not read.
+    documents of their end id alone. Rows with equal ids are documents of their own; null ids stay null. A very long text
+    is tokenized whole, in one task, and cut into full windows. Columns of ``docs`` beyond id and text are not read,
+    whatever their names; an empty table gives an empty one.
     """
     return pieces(tokenized(docs, window=window, **options), window).drop("uid")
 

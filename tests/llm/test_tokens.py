@@ -2,10 +2,12 @@
 
 import random
 import zlib
+from collections import defaultdict
 
 import pytest
 from tokenizers import Tokenizer
 
+from lodeframe.llm import packing
 from lodeframe.llm.common import tokenizer_path
 from lodeframe.llm.packing import best_fit_decreasing, packed_documents, packed_sequences, powers_of_two
 from lodeframe.llm.pretokens import BYTE_PARTS, SAFE_POINTS
@@ -107,3 +109,44 @@ def test_packed_sequences_hold_the_ids(spark, docs):
             seen += d["length"]
         assert len(r["ids"]) <= 64
     assert seen > 9_000
+
+
+def in_windows(rows, window):
+    """The tokens in each sequence, after a check that pieces follow one another from 0 and make their documents up."""
+    sequences, own = defaultdict(list), defaultdict(list)
+    for r in rows:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+        own[r["uid"]].append((r["start"], r["length"], r["doc_tokens"]))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at and length > 0
+            at += length
+        assert at <= window
+    for parts in own.values():
+        at = 0
+        for start, length, total in sorted(parts):
+            assert start == at
+            at += length
+        assert at == parts[0][2]
+    return {s: sum(n for _, n in parts) for s, parts in sequences.items()}
+
+
+@pytest.mark.parametrize(
+    ("lengths", "shard", "shards"),
+    [(lambda r: r.randint(1, 700), 64, 9), (lambda r: r.randint(130, 140), 64, 9), (lambda r: 137, 16, 300), (lambda r: 256, 64, 0), (lambda r: 1, 64, 9)],
+)
+def test_open_sequences_of_shards_are_merged(spark, monkeypatch, lengths, shard, shards):
+    monkeypatch.setattr(packing, "SHARD", shard)
+    rng, window = random.Random(3), 256
+    rows = []
+    for i in range(500):
+        n = lengths(rng)
+        rows.append((i, i, n, [i] * -(-n // window), [i] * bin(n % window).count("1")))
+    tokens = spark.createDataFrame(rows, "uid long, doc_id long, doc_tokens long, crcs array<long>, parts array<long>")
+    found = packing.pieces(tokens, window).collect()
+    filled = in_windows(found, window)
+    assert len({r["uid"] for r in found}) == 500 and {r["ids_crc32"] for r in found if r["uid"] == 7} == {7}
+    total = sum(r[2] for r in rows)
+    padding = sum(window - n for n in filled.values() if n & (n - 1))
+    assert padding <= total / 32 and sum(n < window // 2 for n in filled.values()) <= shards
