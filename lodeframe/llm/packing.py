@@ -26,7 +26,7 @@ SHARD = 4_096
 #: A sequence with more room than this part of the window is dissolved.
 OPEN = 1 / 32
 #: Distinct words, and parts of them, that a Python worker keeps the ids of at most; past it they start anew.
-KEPT = 120_000
+KEPT = 300_000
 
 
 class RoomTree:
