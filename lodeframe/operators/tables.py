@@ -101,8 +101,8 @@ def split_by_category(df: DataFrame, p: SplitByCategory) -> OpResult:
     """A further table for each value of a column; the table itself stays. Only the values reach the driver."""
     require_columns(df, [p.category_column])
     c = qcol(p.category_column)
-    at = F.min(position(df)) if ROW_ID in df.columns else F.min(F.monotonically_increasing_id())
-    found = df.groupBy(c.alias("v")).agg(at.alias("at"))
+    at = position(df) if ROW_ID in df.columns else F.monotonically_increasing_id()
+    found = df.select(c.alias("v"), at.alias("at")).groupBy("v").agg(F.min("at").alias("at"))
     found = found if p.include_blank else found.where(~blank(F.col("v")))
     values = [r["v"] for r in found.orderBy("at").limit(p.max_tables + 1).collect()]
     if len(values) > p.max_tables:

@@ -22,6 +22,7 @@ from ..functions.scalars import fingerprint, table_digest
 from ..operators import REGISTRY
 from ..operators.base import OpResult
 from ..operators.validation import Report, validate_table
+from ..sources.formulas import FormulaSpec, spec_of
 from . import diff, reconcile
 from .identity import identified
 from .schema import OperationPlan, PlanStep, plan_rules, validate_plan
@@ -206,6 +207,21 @@ def reconcile_run(run: Run, tables: dict[TableKey, DataFrame] | None = None) ->
     return out
 
 
+def retained_formulas(plan: OperationPlan, tables: dict[TableKey, DataFrame]) -> dict[str, list[FormulaSpec]]:
+    """For each table that leaves the engine, the calculations that a spreadsheet can do again, if the plan asks for them;
+    only those whose columns are all still there."""
+    found: dict[str, list[FormulaSpec]] = {}
+    if not plan.output.retain_calculation_formulas:
+        return found
+    params = validate_plan(plan)
+    for step in plan.steps:
+        spec = spec_of(params[step.step_id].action) if step.enabled and step.operation == "calculate.column" else None
+        own = [k for k in tables if k[0] == step.target.source_id and step.target.sheet in (None, k[1])]
+        if spec is not None and own and {spec.output_column, *spec.operand_columns} <= set(tables[own[0]].columns):
+            found.setdefault(own[0][1], []).append(spec)
+    return found
+
+
 def execute(plan: OperationPlan, tables: dict[TableKey, DataFrame], seen: Preview, approval: Approval, destination: str | Path, write) -> dict[str, Any]:
     """Runs an approved plan anew and publishes its result as one step, or not at all.
 
@@ -228,7 +244,8 @@ def execute(plan: OperationPlan, tables: dict[TableKey, DataFrame], seen: Previe
     destination.parent.mkdir(parents=True, exist_ok=True)
     staged = Path(tempfile.mkdtemp(prefix=".staged-", dir=destination.parent))
     try:
-        write({k[1]: exported(t) for k, t in final.items()}, staged)
+        formulas = retained_formulas(plan, final)
+        write({k[1]: exported(t) for k, t in final.items()}, staged, **({"formulas": formulas} if formulas else {}))
         audit = {
             "plan": seen.plan_digest,
             "preview": seen.digest,

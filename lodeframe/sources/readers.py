@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import re
 import zipfile
+from datetime import date, datetime, timedelta
 from pathlib import Path
 from xml.etree import ElementTree
 
@@ -106,6 +107,8 @@ def worksheet_rows(path: str | Path, sheet: str | None = None) -> list[list]:
         if "xl/sharedStrings.xml" in z.namelist():
             for item in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{MAIN}si"):
                 shared.append("".join(t.text or "" for t in item.iter(f"{MAIN}t")))
+        dated = _dated(z)
+        since = datetime(1904, 1, 1) if any(p.get("date1904") in ("1", "true") for p in book.iter(f"{MAIN}workbookPr")) else datetime(1899, 12, 30)
         rows = []
         body = ElementTree.fromstring(z.read("xl/" + target.lstrip("/").removeprefix("xl/")))
         for row in body.iter(f"{MAIN}row"):
@@ -122,12 +125,31 @@ def worksheet_rows(path: str | Path, sheet: str | None = None) -> list[list]:
                     cells[at] = "".join(t.text or "" for t in c.iter(f"{MAIN}t"))
                 elif how == "b":
                     cells[at] = value == "1"
+                elif value is not None and how == "n" and int(c.get("s", "0")) in dated:
+                    moment = since + timedelta(seconds=round(float(value) * 86_400, 3))
+                    cells[at] = moment if dated[int(c.get("s", "0"))] else moment.date()
                 elif value is not None:
                     cells[at] = value if how in ("str", "e") else float(value) if re.search(r"[.eE]", value) else int(value)
             rows.append(cells)
         return rows
 
 
+def _dated(z: zipfile.ZipFile) -> dict[int, bool]:
+    """The cell styles that show numbers as dates, and whether with a time of day."""
+    if "xl/styles.xml" not in z.namelist():
+        return {}
+    sheet = ElementTree.fromstring(z.read("xl/styles.xml"))
+    # The numbers of the format's own date formats, those with a time among them.
+    known = {i: i == 22 for i in (14, 15, 16, 17, 22)}
+    for f in sheet.iter(f"{MAIN}numFmt"):
+        code = re.sub(r'"[^"]*"|\\\\.|\[[^\]]*\]', "", f.get("formatCode", "")).lower()
+        if "y" in code or "d" in code:
+            known[int(f.get("numFmtId"))] = "h" in code
+    cells = sheet.find(f"{MAIN}cellXfs")
+    of = {i: int(x.get("numFmtId", "0")) for i, x in enumerate(cells if cells is not None else [])}
+    return {i: known[n] for i, n in of.items() if n in known}
+
+
 def read_worksheet(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
     """Row 1 names the columns; a column of one type has it, any other is text; blank rows are left out. A worksheet has
     2**20 rows at most, so that it is parsed on the driver."""
@@ -147,6 +169,10 @@ def read_worksheet(spark: SparkSession, path: str, sheet: str | None = None) ->
             t = T.LongType()
         elif kinds and kinds <= {int, float}:
             t = T.DoubleType()
+        elif kinds == {date}:
+            t = T.DateType()
+        elif kinds == {datetime}:
+            t = T.TimestampType()
         else:
             t = T.StringType()
         for r in body:

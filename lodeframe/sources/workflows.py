@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.core import EngineError
 from ..operators import apply
-from ..operators.tables import united
+from ..operators.tables import safe_table_name, united
 from .readers import read_csv, read_worksheet, sheet_names
 from .writers import write_csv, write_workbook
 
@@ -46,8 +46,31 @@ def rename_sheets(spark: SparkSession, source: str, destination: str, names: dic
     return write_workbook({names.get(n, n): t for n, t in workbook_tables(spark, source).items()}, destination)
 
 
-def export_sheets(spark: SparkSession, source: str, destination: str, sheets: list[str]) -> Path:
+def add_summary_sheet(spark: SparkSession, source: str, destination: str, name: str, summary: DataFrame) -> Path:
+    """A copy of the workbook's tables with one more."""
+    tables = workbook_tables(spark, source)
+    if name.casefold() in (n.casefold() for n in tables):
+        raise EngineError(f"sheet {name!r} exists already")
+    return write_workbook(tables | {name: summary}, destination)
+
+
+def _taken_apart(spark: SparkSession, source: str, sheets: list[str] | None) -> dict[str, DataFrame]:
     if source.lower().endswith(".xlsm"):
         raise EngineError("workbooks with macros can't be taken apart")
     tables = workbook_tables(spark, source)
-    return write_workbook({n: tables[n] for n in sheets}, destination)
+    missing = sorted(set(sheets or ()) - set(tables))
+    if missing:
+        raise EngineError("unknown sheets: " + ", ".join(missing))
+    return {n: tables[n] for n in sheets or tables}
+
+
+def export_sheets(spark: SparkSession, source: str, destination: str, sheets: list[str]) -> Path:
+    return write_workbook(_taken_apart(spark, source, sheets), destination)
+
+
+def split_workbook(spark: SparkSession, source: str, folder: str, sheets: list[str] | None = None) -> list[Path]:
+    """A workbook for each sheet, named after the source and the sheet."""
+    tables = _taken_apart(spark, source, sheets)
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    stem, taken = Path(source).stem, set()
+    return [write_workbook({n: t}, Path(folder) / f"{stem}_{safe_table_name(n, taken)}.xlsx") for n, t in tables.items()]
