@@ -24,6 +24,7 @@ from ..operators.base import OpResult
 from ..operators.validation import Report, validate_table
 from ..sources.formulas import FormulaSpec, spec_of
 from . import diff, reconcile
+from .backup import back_up, quarantine
 from .identity import identified
 from .schema import OperationPlan, PlanStep, plan_rules, validate_plan
 
@@ -222,7 +223,10 @@ def retained_formulas(plan: OperationPlan, tables: dict[TableKey, DataFrame]) ->
     return found
 
 
-def execute(plan: OperationPlan, tables: dict[TableKey, DataFrame], seen: Preview, approval: Approval, destination: str | Path, write) -> dict[str, Any]:
+def execute(
+    plan: OperationPlan, tables: dict[TableKey, DataFrame], seen: Preview, approval: Approval, destination: str | Path, write,
+    sources: Iterable[str | Path] = (), backup_folder: str | Path | None = None, failed_folder: str | Path | None = None,
+) -> dict[str, Any]:
     """Runs an approved plan anew and publishes its result as one step, or not at all.
 
     ``write(tables, folder)`` writes into a folder beside the destination, which takes its place only if the result is
@@ -233,6 +237,8 @@ def execute(plan: OperationPlan, tables: dict[TableKey, DataFrame], seen: Previe
         raise EngineError(f"{destination.name} exists already")
     if approval.digest != seen.digest or plan.digest() != seen.plan_digest:
         raise EngineError("the approval is of another preview")
+    before = {str(s): fingerprint(Path(s)) for s in sources}
+    receipts = [back_up(s, backup_folder, str(plan.job_id)) for s in before] if backup_folder else []
     run = run_plan(plan, tables)
     if run.digest() != seen.result_digest:
         raise EngineError("the data or the plan has changed since the preview")
@@ -255,11 +261,18 @@ def execute(plan: OperationPlan, tables: dict[TableKey, DataFrame], seen: Previe
             "rejected_changes": len(approval.rejected_changes),
             "checks_run": report.checks_run,
             "reconciliation": reconcile_run(run, final),
+            "sources": before,
+            "backups": [r.copy for r in receipts],
             "output": fingerprint(staged),
         }
+        changed = [s for s, f in before.items() if fingerprint(Path(s)) != f]
+        if changed:
+            raise EngineError("sources have changed meanwhile: " + ", ".join(changed))
         (staged / "audit.json").write_text(json.dumps(audit, default=str, indent=1))
         os.rename(staged, destination)  # fails if another run published meanwhile a folder with content
-    except BaseException:
+    except BaseException as e:
+        if failed_folder and any(staged.iterdir()):
+            quarantine(staged, failed_folder, str(plan.job_id), str(e))
         shutil.rmtree(staged, ignore_errors=True)
         raise
     return audit
