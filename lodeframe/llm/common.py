@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import threading
 import uuid
 from collections.abc import Callable
@@ -11,28 +10,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.stored import shared_dir
+
 #: ASCII white space, as the contents of a character class.
 SPACE = r"\x20\x09-\x0D"
 #: A word: a run of anything else.
 WORD = rf"[^{SPACE}]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Where the setting is missing, a local master gets a folder of this machine; a cluster gets an error, as its
-    executors would not see one another's files.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = f"file://{tempfile.gettempdir()}/checkpoints"
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
 #: Rows in a batch to and from Python, where whole texts go there.
 TEXT_ROWS = 2_000
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"

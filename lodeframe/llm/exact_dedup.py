@@ -41,7 +41,9 @@ def exact_groups(rows: DataFrame) -> DataFrame:
     """rows (uid, doc_id, length, digest; a stored table, uid unique) with keep_id, group_size and kept.
 
     Of each digest the longest text stays, then the smallest doc_id (a null one last), then the smallest uid: rows that
-    repeat in full leave one.
+    repeat in full leave one. Null and empty texts and those of white space are one group. A text of any length is one
+    digest here; a group of any size is settled without bringing it together if its digest is frequent. An empty table
+    gives an empty one. Other columns of ``rows`` are not read, whatever their names.
     """
     best = F.min(F.struct((-F.col("length")).alias("l"), F.col("doc_id").isNull().alias("n"), "doc_id", "uid"))
     candidates = written(frequent_digests(rows, "digest"), "dedup-frequent")

@@ -79,8 +79,9 @@ def mix(
     ``size`` is a column of longs; null counts as 0. taken is what the mix takes of the row, in the unit of size:
     whole epochs first, then the rows in order of their keys up to the source's budget (its target, rounded down), so
     that the row at the cut is taken in part and the sums meet every budget exactly. Rows with equal ids are ordered by
-    size, then by the column ``tie`` if one is named, and rows equal in all can stand for each other. Null ids are one such group, a null source is a source. Empty tables
-    give empty results. ``rows`` is read three times: give a stored table.
+    size, then by the column ``tie`` if one is named, and rows equal in all can stand for each other. Null ids are one such group, a null source is a source. A row of any
+    size, a very long text's, is taken in part where it lies at the cut. Empty tables give empty results.
+    ``rows`` is read three times: give a stored table.
     """
     spark = rows.sparkSession
     rows = rows.drop(*[c for c in rows.columns if c.lower() in ("source_size", "target", "taken")])

@@ -161,7 +161,10 @@ def near_links(fps: DataFrame) -> DataFrame:
 
 def near_groups(rows: DataFrame) -> DataFrame:
     """rows (doc_id, fp, ...; a stored table) with component_id, the smallest doc_id that links reach; null ids count
-    last, and a component of null ids alone has a null one."""
+    last, and a component of null ids alone has a null one. Texts of any length are one fingerprint here; null and empty
+    texts have 0, which links like any other. Repeated rows and ids stay, each with its component; equal fingerprints are
+    one vertex, however many rows have them. An empty table gives an empty one. ``rows`` must have no columns
+    least, root or component_id of its own, as those of fingerprints() have not; documents' own columns never get there."""
     vertices = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-vertices")
     roots = components(near_links(vertices.select("fp"))).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     rooted = vertices.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))

@@ -88,3 +88,10 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_groups(simhash.fingerprints(docs)).collect() == []
     assert simhash.without_near_copies(docs).collect() == []
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "a b c d", "x", 5, 7), (2, "a b c d", "y", 5, 7), (3, "something else here", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string, fp long, __of_text_hash int")
+    out = simhash.without_near_copies(docs)
+    assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 3]
