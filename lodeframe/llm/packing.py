@@ -25,8 +25,8 @@ from .pretokens import WORD_PARTS, in_byte_letters, is_safe, special_strings
 SHARD = 4_096
 #: A sequence with more room than this part of the window is dissolved.
 OPEN = 1 / 32
-#: Distinct words, and parts of them, that a Python worker keeps the ids of at most; past it they start anew.
-KEPT = 300_000
+#: Distinct words, and distinct parts of them, that a Python worker keeps the ids of at most; past it they start anew.
+KEPT, KEPT_PARTS = 250_000, 200_000
 
 
 class RoomTree:
@@ -107,7 +107,7 @@ class IdEncoder:
         if len(self.words) + len(new) > KEPT:
             self.words.clear()
             new = list(words)
-        if len(self.parts) > KEPT:
+        if len(self.parts) > KEPT_PARTS:
             self.parts.clear()
         for w in new:
             ids = b""
