@@ -1,6 +1,6 @@
 """The driver queries of the corpus operators, with SQL for those that SQL can express."""
 
-from . import chat, exact_dedup, fingerprints, mixing, packing, pii, quality, simhash, token_counts, toxicity
+from . import chat, exact_dedup, fingerprints, mixing, packing, periodic, pii, quality, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_simhash": simhash.op9_simhash,
     "op10_chat_format": chat.op10_chat_format,
+    "op12_periodic_runs": periodic.op12_periodic_runs,
 }
 
 ORACLE_SQL = {
