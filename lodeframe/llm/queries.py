@@ -1,6 +1,6 @@
 """The driver queries of the corpus operators, with SQL for those that SQL can express."""
 
-from . import chat, exact_dedup, fingerprints, mixing, packing, periodic, pii, quality, simhash, token_counts, toxicity
+from . import chat, exact_dedup, fingerprints, hard_negatives, mixing, packing, periodic, pii, quality, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -14,10 +14,12 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_chat_format": chat.op10_chat_format,
     "op12_periodic_runs": periodic.op12_periodic_runs,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op10_chat_format": chat.OP10_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
