@@ -33,6 +33,15 @@ def _path(spark: SparkSession, folder: str):
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in the shared folder, which goes with release() or when the session's JVM ends."""
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path, system = _path(spark, folder)
+    system.deleteOnExit(path)
+    _folders.append(folder)
+    return folder
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as it comes out of a table in the shared folder, under the same columns, whatever their names.
 
@@ -40,20 +49,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     with release() or when the session's JVM ends.
     """
     spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = scratch(spark, name)
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     void = [f.name for f in plain.schema if isinstance(f.dataType, T.NullType)]  # Parquet has no such type
     plain = plain.withColumns({c: F.col(c).cast("string") for c in void})
     plain.write.parquet(folder)
-    path, system = _path(spark, folder)
-    system.deleteOnExit(path)
-    _folders.append(folder)
     back = spark.read.schema(plain.schema).parquet(folder)
     return back.withColumns({c: F.lit(None).cast("void") for c in void}).toDF(*df.columns)
 
 
 def release(spark: SparkSession) -> int:
-    """Deletes all tables that stored() has written so far, and says how many; what still reads from them fails."""
+    """Deletes all folders that scratch() has given out so far, and says how many; what still reads from them fails."""
     n = len(_folders)
     while _folders:
         path, system = _path(spark, _folders.pop())
