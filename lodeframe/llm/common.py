@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import os
 import threading
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.stored import shared_dir
+from ..functions.stored import scratch
 
 #: ASCII white space, as the contents of a character class.
 SPACE = r"\x20\x09-\x0D"
@@ -29,10 +28,10 @@ def written(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     most wherever Python takes part.
 
     Cuts the lineage, so that a lost executor costs no more than its running tasks, and gives later joins the size of
-    their inputs. The files go when the session's JVM ends.
+    their inputs. The files go with functions.stored.release() or when the session's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     if batch:
         with _batch_lock:
             before = spark.conf.get(BATCH)
@@ -43,8 +42,6 @@ def written(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
                 spark.conf.set(BATCH, before)
     else:
         df.write.parquet(path)
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return spark.read.schema(df.schema).parquet(path)
 
 
