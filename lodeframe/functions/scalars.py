@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .core import ROW_ID, WHITE, EngineError, kind, qcol, visible
+from .core import WHITE, EngineError, kind, qcol
 
 # Marks that begin a formula, their full-width and small forms, and what is skipped before them.
 FORMULA_MARKS = "=+\\-@＝＋－＠﹢﹣﹦﹫"
@@ -80,22 +80,6 @@ def shape_marker(df: DataFrame, name: str) -> Column:
     return F.when(c.isNull(), "<blank>").otherwise(mark)
 
 
-def row_hash(df: DataFrame) -> Column:
-    """SHA-256 of a row's position and visible cells, nulls and types told apart."""
-    cells = [F.coalesce(F.concat(F.lit("="), qcol(c).cast("string")), F.lit("~")) for c in visible(df)]
-    return F.sha2(F.to_json(F.array(qcol(ROW_ID).cast("string"), *cells)).cast("binary"), 256)
-
-
-def table_digest(df: DataFrame) -> str:
-    """SHA-256 over names, types and the rows in their order. Rows are hashed with their positions and the hashes added
-    up, so that no task has to see the table in order."""
-    low = F.conv(F.substring(row_hash(df), 1, 15), 16, 10).cast("decimal(38,0)")
-    high = F.conv(F.substring(row_hash(df), 16, 15), 16, 10).cast("decimal(38,0)")
-    n, a, b = df.agg(F.count(F.lit(1)), F.sum(low), F.sum(high)).first()
-    head = [(c, kind(df, c).simpleString()) for c in visible(df)]
-    return hashlib.sha256(repr((head, n, str(a), str(b))).encode()).hexdigest()
-
-
 def fingerprint(path: str | Path) -> tuple[str, int]:
     """(SHA-256, bytes) of a local file, or of the sorted listing of a folder's files with theirs."""
     path = Path(path)

@@ -1,4 +1,4 @@
-"""Copies of sources that a job can't lose, and a place for results that failed."""
+"""Copies of sources that a job can't lose."""
 
 from __future__ import annotations
 
@@ -78,12 +78,3 @@ def restore(receipt: Receipt, destination: str | Path) -> Path:
         raise EngineError(f"the copy of {receipt.source} is damaged")
     _copied(Path(receipt.copy), destination)
     return destination
-
-
-def quarantine(staged: Path, folder: str | Path, job: str, reason: str) -> Path:
-    """Moves what a failed job has written out of the way, with the reason beside it."""
-    place = Path(folder) / f"{job}-{uuid4().hex}"
-    place.parent.mkdir(parents=True, exist_ok=True)
-    shutil.move(staged, place)
-    (place / "failed.txt").write_text(reason)
-    return place

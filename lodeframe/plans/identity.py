@@ -38,24 +38,29 @@ def dense(df: DataFrame, output: str, order: list[Column], start: int = 1, step:
     return dealt.withColumn(output, (F.lit(start) + F.lit(step) * place).cast("long")).drop("__lf_range")
 
 
-def _shuffles(df: DataFrame) -> bool:
-    return "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+def _is_whole_files(df: DataFrame) -> bool:
+    """Whether a table is what files hold, row for row: columns of nothing but one relation of Parquet files. What its
+    plan says is asked node by node; filters, unions, joins, samples and generators make it another table."""
+    node = df._jdf.queryExecution().analyzed()
+    while (kind := node.getClass().getSimpleName()) in ("Project", "SubqueryAlias"):
+        node = node.child()
+    if kind != "LogicalRelation" or node.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    return node.relation().fileFormat().getClass().getSimpleName() == "ParquetFileFormat"
 
 
 def _by_files(df: DataFrame, offset: int) -> DataFrame | None:
     """Row ids by the places of rows in whole Parquet files, in the order of their paths; None for any other table."""
-    if " parquet" not in df._jdf.queryExecution().analyzed().toString():
+    if not _is_whole_files(df):
         return None
     try:
         rows = df.withColumns({"__lf_file": F.col("_metadata.file_path"), "__lf_index": F.col("_metadata.row_index")})
-        if _shuffles(df):
-            return None
-    except AnalysisException:
+        files = rows.groupBy("__lf_file").agg(F.count("__lf_index").alias("n"), F.max("__lf_index").alias("last")).orderBy("__lf_file").collect()
+    except AnalysisException:  # a column of the name _metadata hides the files' own
         return None
-    files = rows.groupBy("__lf_file").agg(F.count("__lf_index").alias("n"), F.max("__lf_index").alias("last")).orderBy("__lf_file").collect()
     firsts, total = [], offset + 1
     for f in files:
-        if f["last"] is None or f["n"] != f["last"] + 1:  # rows were filtered out, or come more than once
+        if f["last"] is None or f["n"] != f["last"] + 1:  # a file that is read twice
             return None
         firsts.append((f["__lf_file"], total))
         total += f["n"]

@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
-import shutil
-import tempfile
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
@@ -18,14 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import HIDDEN, ORDER, ORIGINAL_ORDER, ROW_ID, EngineError, check_names, position, qcol, require_columns, visible, with_columns
-from ..functions.scalars import fingerprint, table_digest
 from ..operators import REGISTRY
 from ..operators.base import OpResult
 from ..operators.validation import Report, validate_table
 from ..sources.formulas import FormulaSpec, spec_of
 from . import diff, reconcile
-from .backup import back_up, quarantine
+from .backup import back_up
+from .digests import table_digest
 from .identity import identified
+from .publish import Publication, digests, output_names, source_state, write_parts
 from .schema import OperationPlan, PlanStep, plan_rules, validate_plan
 
 TableKey = tuple[UUID, str]
@@ -113,6 +111,11 @@ def run_plan(plan: OperationPlan, tables: dict[TableKey, DataFrame]) -> Run:
     return run
 
 
+def named(plan: OperationPlan, keys: Iterable[TableKey]) -> dict[TableKey, str]:
+    """The names that tables leave the engine under: no two of a job are equal, though their sheets' may be."""
+    return output_names(list(keys), {s.source_id: s.file_name for s in plan.source_files})
+
+
 def exported(df: DataFrame) -> DataFrame:
     """A table as it leaves the engine: in order, without hidden columns."""
     ordered = df.orderBy(position(df)) if ROW_ID in df.columns else df
@@ -199,11 +202,12 @@ def without_rejected(seen: Preview, rejected: frozenset[str]) -> dict[TableKey,
 
 def reconcile_run(run: Run, tables: dict[TableKey, DataFrame] | None = None) -> dict[str, Any]:
     tables = tables or run.tables
-    out: dict[str, Any] = {"created_tables": sorted(k[1] for k in tables if k not in run.sources), "tables": {}}
+    names = named(run.plan, tables)
+    out: dict[str, Any] = {"created_tables": sorted(names[k] for k in tables if k not in run.sources), "tables": {}}
     for key, before in run.sources.items():
         row = reconcile.row_changes(before, tables[key]).first().asDict()
         row["totals"] = {r["column"]: (r["before"], r["after"]) for r in reconcile.totals(before, tables[key]).collect()}
-        out["tables"][key[1]] = row
+        out["tables"][names[key]] = row
     out["duplicates_removed"] = sum(m.get("duplicate_rows", 0) for s, m in run.metrics().items() if next(x for x in run.steps if x.step.step_id == s).step.destructive)
     return out
 
@@ -214,44 +218,48 @@ def retained_formulas(plan: OperationPlan, tables: dict[TableKey, DataFrame]) ->
     found: dict[str, list[FormulaSpec]] = {}
     if not plan.output.retain_calculation_formulas:
         return found
-    params = validate_plan(plan)
+    params, names = validate_plan(plan), named(plan, tables)
     for step in plan.steps:
         spec = spec_of(params[step.step_id].action) if step.enabled and step.operation == "calculate.column" else None
         own = [k for k in tables if k[0] == step.target.source_id and step.target.sheet in (None, k[1])]
         if spec is not None and own and {spec.output_column, *spec.operand_columns} <= set(tables[own[0]].columns):
-            found.setdefault(own[0][1], []).append(spec)
+            found.setdefault(names[own[0]], []).append(spec)
     return found
 
 
 def execute(
-    plan: OperationPlan, tables: dict[TableKey, DataFrame], seen: Preview, approval: Approval, destination: str | Path, write,
+    plan: OperationPlan, tables: dict[TableKey, DataFrame], seen: Preview, approval: Approval, destination: str | Path, write=None,
     sources: Iterable[str | Path] = (), backup_folder: str | Path | None = None, failed_folder: str | Path | None = None,
 ) -> dict[str, Any]:
     """Runs an approved plan anew and publishes its result as one step, or not at all.
 
-    ``write(tables, folder)`` writes into a folder beside the destination, which takes its place only if the result is
-    that of the preview and meets the plan's rules. Nothing is ever overwritten.
+    Tables are named by their sheets, or with several sources by file and sheet. Without ``write``, the executors write them
+    as CSV or Parquet, as the plan says, to any store. ``write(tables, folder)`` instead writes local files, workbooks
+    say, into a folder beside a destination on this machine. What is written takes the destination's place only if the
+    result is that of the preview and meets the plan's rules. Nothing is ever overwritten. ``sources`` are files or folders
+    that must not change meanwhile; backups of them can be made of local ones.
     """
-    destination = Path(destination)
-    if destination.exists():
-        raise EngineError(f"{destination.name} exists already")
-    if approval.digest != seen.digest or plan.digest() != seen.plan_digest:
-        raise EngineError("the approval is of another preview")
-    before = {str(s): fingerprint(Path(s)) for s in sources}
-    receipts = [back_up(s, backup_folder, str(plan.job_id)) for s in before] if backup_folder else []
-    run = run_plan(plan, tables)
-    if run.digest() != seen.result_digest:
-        raise EngineError("the data or the plan has changed since the preview")
-    final = without_rejected(Preview(run, seen.plan_digest, seen.result_digest, seen.changes, seen.sample), approval.rejected_changes)
-    checked = Run(plan, run.sources, final, run.steps)
-    report = validate_run(checked)
-    if not report.passed:
-        raise EngineError("validation failed: " + "; ".join(i.code for i in report.issues))
-    destination.parent.mkdir(parents=True, exist_ok=True)
-    staged = Path(tempfile.mkdtemp(prefix=".staged-", dir=destination.parent))
-    try:
-        formulas = retained_formulas(plan, final)
-        write({k[1]: exported(t) for k, t in final.items()}, staged, **({"formulas": formulas} if formulas else {}))
+    spark = next(iter(tables.values())).sparkSession
+    with Publication(spark, destination, failed_folder, str(plan.job_id)) as staged:
+        if approval.digest != seen.digest or plan.digest() != seen.plan_digest:
+            raise EngineError("the approval is of another preview")
+        before = {str(s): source_state(spark, s) for s in sources}
+        receipts = [back_up(s, backup_folder, str(plan.job_id)) for s in before] if backup_folder else []
+        run = run_plan(plan, tables)
+        if run.digest() != seen.result_digest:
+            raise EngineError("the data or the plan has changed since the preview")
+        final = without_rejected(Preview(run, seen.plan_digest, seen.result_digest, seen.changes, seen.sample), approval.rejected_changes)
+        report = validate_run(Run(plan, run.sources, final, run.steps))
+        if not report.passed:
+            raise EngineError("validation failed: " + "; ".join(i.code for i in report.issues))
+        names = named(plan, final)
+        leaving = {names[k]: exported(t) for k, t in final.items()}
+        if write is None:
+            known = write_parts(leaving, staged.folder, "csv" if plan.output.format == "csv" else "parquet")
+        else:
+            formulas = retained_formulas(plan, final)
+            write(leaving, staged.local(), **({"formulas": formulas} if formulas else {}))
+            known = {}
         audit = {
             "plan": seen.plan_digest,
             "preview": seen.digest,
@@ -263,18 +271,13 @@ def execute(
             "reconciliation": reconcile_run(run, final),
             "sources": before,
             "backups": [r.copy for r in receipts],
-            "output": fingerprint(staged),
         }
-        changed = [s for s, f in before.items() if fingerprint(Path(s)) != f]
+        parts = digests(spark, staged.folder)
+        staged.store.write(f"{staged.folder}/audit.json", json.dumps(audit, default=str, indent=1))
+        changed = [s for s, f in before.items() if source_state(spark, s) != f]
         if changed:
             raise EngineError("sources have changed meanwhile: " + ", ".join(changed))
-        (staged / "audit.json").write_text(json.dumps(audit, default=str, indent=1))
-        os.rename(staged, destination)  # fails if another run published meanwhile a folder with content
-    except BaseException as e:
-        if failed_folder and any(staged.iterdir()):
-            quarantine(staged, failed_folder, str(plan.job_id), str(e))
-        shutil.rmtree(staged, ignore_errors=True)
-        raise
+        staged.commit({"job": str(plan.job_id), "plan": seen.plan_digest, "tables": known, "parts": parts})
     return audit
 
 

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from .functions import profile, scalars
 from .functions.core import ORDER, ORIGINAL_ORDER, ROW_ID, qcol
+from .functions.stored import scratch
 from .operators import apply
 from .plans import diff, reconcile
-from .plans.runner import exported, run_plan
+from .plans.publish import published
+from .plans.runner import approve, execute, exported, preview, run_plan
 from .plans.schema import OperationPlan
 from .sources.readers import widened
 
@@ -675,6 +677,22 @@ def order_plan() -> OperationPlan:
     )
 
 
+@query("""SELECT 'customer - Parquet' AS name, c_custkey AS k, upper(c_name) AS v FROM customer UNION ALL SELECT 'supplier - Parquet', s_suppkey, s_name FROM supplier""")
+def publish_two_sources(spark, d):
+    """Two sources whose tables have one name are previewed, approved, published and read back."""
+    ids = [uuid.UUID(int=i) for i in (1, 2)]
+    names = ("customer", "supplier")
+    tables = {(i, "Parquet"): table(spark, d, n, f"{n[0]}_{k}key", f"{n[0]}_name").toDF("k", "v") for i, n, k in zip(ids, names, ("cust", "supp"), strict=True)}
+    step = {"step_id": "s", "operation": "text.clean", "parameters": {"columns": ["v"], "actions": [{"kind": "uppercase"}]}, "target": {"source_id": ids[0]}, "explanation": "x"}
+    files = [{"source_id": i, "file_name": f"{n}.parquet", "sha256": "0" * 64} for i, n in zip(ids, names, strict=True)]
+    plan = OperationPlan.model_validate({"job_name": "partners", "source_files": files, "steps": [step], "output": {"output_name": "partners", "format": "parquet"}})
+    seen = preview(plan, tables)
+    place = scratch(spark, "published")
+    execute(plan, tables, seen, approve(seen), place)
+    parts = [t.select(F.lit(n).alias("name"), "k", "v") for n, t in published(spark, place, verify=True).items()]
+    return parts[0].unionByName(parts[1])
+
+
 @query("""SELECT o_orderkey, o_totalprice, replace(lower(o_orderpriority), '-', ' ') AS o_orderpriority, o_totalprice * 18.0::DOUBLE / 100 AS gst,
 CASE WHEN o_totalprice >= 150000 THEN 'big' ELSE 'small' END AS size,
 row_number() OVER (ORDER BY CASE WHEN o_totalprice >= 150000 THEN 'big' ELSE 'small' END, o_totalprice DESC, o_orderkey)::BIGINT AS rank FROM orders WHERE o_totalprice > 1000""")

@@ -142,7 +142,7 @@ def _dated(z: zipfile.ZipFile) -> dict[int, bool]:
     # The numbers of the format's own date formats, those with a time among them.
     known = {i: i == 22 for i in (14, 15, 16, 17, 22)}
     for f in sheet.iter(f"{MAIN}numFmt"):
-        code = re.sub(r'"[^"]*"|\\\\.|\[[^\]]*\]', "", f.get("formatCode", "")).lower()
+        code = re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", f.get("formatCode", "")).lower()
         if "y" in code or "d" in code:
             known[int(f.get("numFmtId"))] = "h" in code
     cells = sheet.find(f"{MAIN}cellXfs")

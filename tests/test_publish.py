@@ -1,0 +1,143 @@
+"""Digests of tables and publications."""
+
+import json
+import uuid
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodeframe.functions.core import EngineError
+from lodeframe.functions.stored import scratch
+from lodeframe.operators import apply
+from lodeframe.plans import digests
+from lodeframe.plans.digests import table_digest
+from lodeframe.plans.identity import identified
+from lodeframe.plans.publish import MANIFEST, Publication, output_names, publish, published
+from lodeframe.plans.runner import approve, exported, execute, preview, reconcile_run
+from lodeframe.plans.schema import OperationPlan
+from lodeframe.sources.readers import read_csv
+from lodeframe.sources.writers import write_tables
+
+
+@pytest.mark.parametrize("width", [2, 7, 4_096])
+def test_a_digest_is_of_content_and_order(spark, monkeypatch, width):
+    monkeypatch.setattr(digests, "WIDTH", width)
+    rows = [(i * 37 % 101, None if i % 5 == 0 else "x" * (i % 3)) for i in range(101)]
+    schema = "A int, B string"
+    table = identified(spark.createDataFrame(rows, schema).coalesce(1))
+    up, down = (apply("rows.sort", table, keys=[{"column": "A", "descending": d}]).df for d in (False, True))
+    seen = {table_digest(t) for t in (table, up, down)}
+    assert len(seen) == 3
+    assert table_digest(table.repartition(5)) == table_digest(table) == table_digest(spark.createDataFrame(rows, schema).coalesce(1))
+    assert table_digest(up) == table_digest(apply("rows.sort", table.repartition(3), keys=[{"column": "A"}]).df)
+    assert table_digest(up) == table_digest(spark.createDataFrame(sorted(rows), schema).coalesce(1))  # ids don't count
+    other = [*rows[:50], (rows[50][0], "other"), *rows[51:]]
+    swapped = [*rows[:3], rows[4], rows[3], *rows[5:]]
+    for changed in (other, swapped, rows[:-1], [*rows, rows[-1]]):
+        assert table_digest(spark.createDataFrame(changed, schema).coalesce(1)) not in seen
+    assert table_digest(table.withColumnRenamed("A", "C")) not in seen
+    assert table_digest(table.withColumn("A", F.col("A").cast("long"))) not in seen
+
+
+def test_digests_of_few_rows(spark):
+    tables = [[], [(None,)], [("",)], [("~",)], [(None,), (None,)]]
+    assert len({table_digest(spark.createDataFrame(t, "A string").coalesce(1)) for t in tables}) == 5
+
+
+def test_names_of_tables_that_leave():
+    a, b, c = "1", "2", "3"
+    assert output_names([(a, "CSV"), (a, "csv")], {a: "x.csv"}) == {(a, "CSV"): "CSV", (a, "csv"): "csv (2)"}
+    names = output_names([(a, "CSV"), (b, "CSV"), (c, "Sheet")], {a: "x.csv", b: "X.csv", c: "y.xlsx"})
+    assert names == {(a, "CSV"): "x - CSV", (b, "CSV"): "X - CSV (2)", (c, "Sheet"): "y - Sheet"}
+
+
+A, B = uuid.UUID(int=1), uuid.UUID(int=2)
+
+
+def two_sources(kind="csv"):
+    step = {"step_id": "s", "operation": "text.clean", "parameters": {"columns": ["Name"], "actions": [{"kind": "trim"}]}}
+    step |= {"target": {"source_id": A}, "explanation": "x"}
+    files = [{"source_id": i, "file_name": n, "sha256": "0" * 64} for i, n in ((A, "a.csv"), (B, "b.csv"))]
+    return OperationPlan.model_validate({"job_name": "j", "source_files": files, "steps": [step], "output": {"output_name": "o", "format": kind}})
+
+
+@pytest.fixture
+def stores(spark, tmp_path):
+    """A folder of this machine and the same through a store that only Hadoop's file systems reach."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.test.link./out", f"file://{tmp_path}")
+    conf.setBoolean("fs.viewfs.impl.disable.cache", True)
+    return {"path": f"{tmp_path}", "file": f"file://{tmp_path}", "viewfs": "viewfs://test/out"}
+
+
+@pytest.mark.parametrize(("store", "kind"), [("path", "csv"), ("file", "parquet"), ("viewfs", "parquet"), ("viewfs", "csv")])
+def test_two_sources_of_one_sheet_name_are_both_published(spark, stores, tmp_path, store, kind):
+    (tmp_path / "a.csv").write_text("Name\n Ada \n")
+    (tmp_path / "b.csv").write_text("Name,V\nBob,1\nCy,2\n")
+    plan = two_sources(kind)
+    tables = {(A, "CSV"): read_csv(spark, f"{tmp_path}/a.csv"), (B, "CSV"): read_csv(spark, f"{tmp_path}/b.csv")}
+    seen = preview(plan, tables)
+    place = f"{stores[store]}/result"
+    audit = execute(plan, tables, seen, approve(seen), place, sources=[f"{stores[store]}/a.csv"])
+    assert set(audit["reconciliation"]["tables"]) == {"a - CSV", "b - CSV"} == set(reconcile_run(seen.run)["tables"])
+    out = published(spark, place, verify=True)
+    assert out["a - CSV"].collect() == [("Ada",)] and sorted(out["b - CSV"].collect()) == [("Bob", 1), ("Cy", 2)]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.csv", "b.csv", "result"]
+    manifest = json.loads((tmp_path / "result" / MANIFEST).read_text())
+    assert {k: (tmp_path / "result" / k).stat().st_size for k in manifest["parts"]} == {k: p["bytes"] for k, p in manifest["parts"].items()}
+    with pytest.raises(EngineError, match="exists"):
+        execute(plan, tables, seen, approve(seen), place)
+    part = next(p for p in (tmp_path / "result").rglob("part-*") if p.suffix != ".crc")
+    part.write_bytes(part.read_bytes() + b"\n")
+    (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(EngineError, match="changed"):
+        published(spark, place, verify=True)
+
+
+def test_local_writers_get_both_tables(spark, tmp_path):
+    plan = two_sources()
+    tables = {(A, "CSV"): spark.createDataFrame([(" Ada ",)], "Name string"), (B, "CSV"): spark.createDataFrame([("Bob",)], "Name string")}
+    seen = preview(plan, tables)
+    execute(plan, tables, seen, approve(seen), tmp_path / "out", write_tables)
+    assert (tmp_path / "out" / "a - CSV.csv").read_text("utf-8-sig") == "Name\nAda\n"
+    assert (tmp_path / "out" / "b - CSV.csv").read_text("utf-8-sig") == "Name\nBob\n"
+
+
+def test_a_failed_job_leaves_nothing(spark, stores, tmp_path):
+    bad = spark.range(20).repartition(4).select(F.when(F.col("id") == 13, F.raise_error(F.lit("bad row"))).otherwise("x").alias("v"))
+    good = spark.range(5)
+    with pytest.raises(Exception, match="bad row"):
+        publish(spark, {"good": good, "bad": bad}, f"{stores['viewfs']}/result")
+    assert list(tmp_path.iterdir()) == []
+    with pytest.raises(Exception, match="bad row"), Publication(spark, f"{stores['viewfs']}/result", f"{stores['viewfs']}/failed", "job") as staged:
+        good.write.parquet(f"{staged.folder}/good")
+        bad.write.parquet(f"{staged.folder}/bad")
+    (aside,) = (tmp_path / "failed").iterdir()
+    assert "bad row" in (aside / "failed.txt").read_text() and (aside / "good").exists() and not (tmp_path / "result").exists()
+
+
+def test_failed_results_stay_in_their_store(spark, stores, tmp_path):
+    with pytest.raises(EngineError, match="store"):
+        Publication(spark, f"{stores['viewfs']}/result", tmp_path / "failed")
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_nothing_is_replaced(spark, stores, tmp_path):
+    with Publication(spark, f"{stores['file']}/result") as staged:
+        spark.range(1).write.parquet(f"{staged.folder}/t")
+        (tmp_path / "result").mkdir()  # meanwhile
+        with pytest.raises(EngineError, match="exists"):
+            staged.commit({"parts": {}})
+    assert [p.name for p in tmp_path.iterdir()] == ["result"] and list((tmp_path / "result").iterdir()) == []
+    with pytest.raises(EngineError, match="not a publication"):
+        published(spark, tmp_path / "result")
+    publish(spark, {"a/b": spark.range(3), "a_b": spark.range(2), "empty": spark.range(0)}, tmp_path / "new")
+    assert {k: t.count() for k, t in published(spark, tmp_path / "new", verify=True).items()} == {"a/b": 3, "a_b": 2, "empty": 0}
+
+
+def test_published_rows_keep_their_order(spark):
+    folder = scratch(spark, "test-publish")
+    table = apply("rows.sort", identified(spark.range(1000).repartition(3)), keys=[{"column": "id", "descending": True}]).df
+    publish(spark, {"t": exported(table)}, folder)
+    back = identified(published(spark, folder)["t"])
+    assert [r["id"] for r in exported(back).collect()] == list(range(999, -1, -1))

@@ -34,6 +34,25 @@ def test_row_ids_of_whole_files_are_their_places(spark, tmp_path):
     assert sorted(r[ROW_ID] for r in some.collect()) == list(range(1, 335))
 
 
+def test_row_ids_of_tables_that_repeat_or_drop_rows_of_files(spark, tmp_path):
+    spark.range(40).repartition(2).write.parquet(f"{tmp_path}/t")
+    spark.range(2).coalesce(1).write.parquet(f"{tmp_path}/two")
+    whole, two = spark.read.parquet(f"{tmp_path}/t"), spark.read.parquet(f"{tmp_path}/two")
+    tables = {
+        "exploded": two.where("id = 1").withColumn("x", F.explode(F.array(F.lit(1), F.lit(2)))),
+        "united": whole.union(whole),
+        "sampled": whole.sample(True, 1.5, 3),
+        "read twice": spark.read.parquet(f"{tmp_path}/two", f"{tmp_path}/two"),
+        "half of twice": spark.read.parquet(f"{tmp_path}/two", f"{tmp_path}/two").where("id = 1"),
+        "joined": whole.crossJoin(two.select(F.col("id").alias("other"))),
+        "named oddly": whole.select(F.col("id").alias(" parquet Exchange")),
+        "of its own metadata": whole.withColumn("_metadata", F.lit("x")),
+    }
+    for name, df in tables.items():
+        ids = [r[ROW_ID] for r in identified(df, 5).collect()]
+        assert sorted(ids) == list(range(6, 6 + df.count())), name
+
+
 def test_row_ids_stay_when_the_table_is_run_again(spark):
     df = identified(spark.range(500).repartition(7).withColumn("x", F.rand(3)))
     once = {r["id"]: r[ROW_ID] for r in df.collect()}
