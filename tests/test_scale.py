@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lodeframe.functions.core import ROW_ID
+from lodeframe.functions.core import ROW_ID, EngineError
 from lodeframe.functions.stored import release, stored
 from lodeframe.operators import apply
 from lodeframe.operators.grouping import with_figures
@@ -133,3 +133,46 @@ def test_fuzzy_groups_are_those_of_all_pairs(spark, threshold):
     several = {g for g in group if group.count(g) > 1}
     numbers = {g: k + 1 for k, g in enumerate(sorted(several))}
     assert {r["i"]: r["Fuzzy Review Group"] for r in out} == {i: numbers.get(g) for i, g in enumerate(group)}
+
+
+def _names(n, seed):
+    own = random.Random(seed)
+    firsts = ["".join(own.choices("abcdefghijklmnoprstuvwz", k=own.randint(3, 8))) for _ in range(400)]
+    lasts = ["".join(own.choices("abcdefghijklmnoprstuvwz", k=own.randint(4, 11))) for _ in range(900)]
+    return [f"{own.choice(firsts)} {own.choice(lasts)} {own.randint(1, 99)}" for _ in range(n)]
+
+
+@pytest.mark.parametrize("threshold", [0.75, 0.88, 0.95])
+def test_candidates_of_similar_texts_lose_no_pair(spark, threshold):
+    from difflib import SequenceMatcher
+
+    from lodeframe.operators import fuzzy
+
+    own = random.Random(9)
+    texts = _names(250, 1)
+    texts += [t[:k] + own.choice("xyz") + t[k + 1 :] for t in texts[:80] for k in [own.randrange(len(t))]]
+    texts += [t + t[-2:] for t in texts[:40]] + ["x" * k for k in (1, 2, 9, 10, 11)]
+    texts += ["".join(own.choices("abcde ", k=260)) for _ in range(3)]
+    texts += [texts[-1][:200] + "q" + texts[-1][200:], "".join(own.choices("ab", k=900))]  # long texts have characters that the ratio skips
+    texts = sorted(set(texts))
+    table = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(3)
+    found = {tuple(r) for r in fuzzy.candidates(table, threshold).collect()}
+    near = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if SequenceMatcher(None, texts[a], texts[b]).ratio() >= threshold}
+    assert near <= found and len(near) > 20
+    assert len(found) < len(texts) * (len(texts) - 1) / 2 * {0.75: 0.05, 0.88: 0.02, 0.95: 0.01}[threshold]
+
+
+def test_fuzzy_review_of_as_many_rows_as_the_format_takes(spark):
+    names = _names(24_000, 2)
+    names += [names[i].replace(" ", "  ") for i in range(0, 2000, 4)] + [names[i] + "x" for i in range(500)]
+    df = spark.createDataFrame(list(enumerate(names)), "i long, t string").repartition(4)
+    ask = {"columns": ["t"], "threshold": 0.95, "max_rows": 25_000, "max_comparisons": 5_000_000}
+    with pytest.raises(EngineError, match="comparisons"):
+        apply("duplicates.fuzzy_review", df, **ask)
+    with pytest.raises(EngineError, match="would make"):
+        apply("duplicates.fuzzy_review", df, **ask | {"max_comparisons": 10}, comparisons="made")
+    out = apply("duplicates.fuzzy_review", df, **ask, comparisons="made")
+    group = {r["i"]: r["Fuzzy Review Group"] for r in out.df.collect()}
+    assert len(group) == 25_000 and all(group[24_000 + k] == group[4 * k] is not None for k in range(500))
+    assert all(group[24_500 + i] == group[i] is not None for i in range(500))
+    assert out.counts["comparisons"] < 1_000_000 and out.counts["review_groups"] == max(g for g in group.values() if g)
