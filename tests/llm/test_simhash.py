@@ -2,8 +2,8 @@ import random
 
 import pytest
 
+from lodeframe.functions.components import components
 from lodeframe.llm import simhash
-from lodeframe.llm.components import components
 
 rng = random.Random(3)
 WORDS = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(500)]
