@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..operators.standardise import EMAIL
+from .cells import cell_text, different
 from .core import blank, kind, qcol, ustrip, visible
 from .scalars import starts_formula
 
@@ -67,35 +68,34 @@ def column_figures(df: DataFrame, name: str) -> dict[str, Column]:
     }
 
 
-def unique_counts(df: DataFrame) -> DataFrame:
-    """(name, unique_count): different values that aren't blank. One row for each cell, combined before the shuffle;
-    counting the columns side by side would copy each whole row once for each column."""
-    cells = []
-    for n in visible(df):
-        text = qcol(n).cast("string")
-        value = F.when(F.length(text) > 64, F.sha2(text.cast("binary"), 256)).otherwise(text)
-        cells.append(F.struct(F.lit(n).alias("name"), F.when(~blank(qcol(n)), value).alias("value")))
-    long = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
-    return long.groupBy("name", "value").agg(F.lit(1).alias("one")).groupBy("name").agg(F.count("value").alias("unique_count"))
+def unique_counts(df: DataFrame) -> dict[str, int]:
+    """Different values of each column that aren't blank."""
+    return different(df, {n: F.when(~blank(qcol(n)), cell_text(df, n)) for n in visible(df)})
 
 
 def profile_columns(df: DataFrame) -> DataFrame:
-    """A row for each column, from one aggregate over the table and one over its cells; columns of text take up to three
-    jobs of their own for their variations."""
+    """A row for each column, from one aggregate over the table and two over its cells: of different values, and of the
+    spellings of text columns with few of them."""
     names = visible(df)
     figures = [column_figures(df, n) for n in names]
     wide = df.agg(F.count(F.lit(1)).alias("rows"), *[x.alias(f"c{i}_{k}") for i, f in enumerate(figures) for k, x in f.items()])
+    texts = [n for n in names if isinstance(kind(df, n), T.StringType)]
+    uniques = unique_counts(df)
+    spelled = variations(df, texts)
+    known = lambda n: [F.lit(x).cast("long") for x in (uniques[n], *spelled.get(n, (0, 0)))]
+    more = ("unique_count", "inconsistent_category_count", "possible_spelling_variation_count")
     rows = [
-        F.struct(F.lit(n).alias("name"), "rows", *[F.col(f"c{i}_{k}").alias(k) for k in figures[i]]) for i, n in enumerate(names)
+        F.struct(
+            F.lit(n).alias("name"),
+            "rows",
+            *[F.col(f"c{i}_{k}").alias(k) for k in figures[i]],
+            *[x.alias(k) for k, x in zip(more, known(n), strict=True)],
+        )
+        for i, n in enumerate(names)
     ]
     each = wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-    joined = each.join(unique_counts(df), "name", "left").withColumn("unique_count", F.coalesce("unique_count", F.lit(0)))
-    spelled = {n: variations(df, n) for n in names if isinstance(kind(df, n), T.StringType)}
-    counts = F.array(*[F.struct(*[F.lit(x).cast("long") for x in spelled.get(n, (0, 0))]) for n in names])
-    for i, k in enumerate(("inconsistent_category_count", "possible_spelling_variation_count")):
-        joined = joined.withColumn(k, F.get(counts, F.array_position(F.lit(names), F.col("name")).cast("int") - 1)[f"col{i + 1}"])
     key = (F.col("rows") > 0) & (F.col("filled") == F.col("rows")) & (F.col("unique_count") == F.col("rows"))
-    return joined.withColumn("candidate_key", key).drop("rows", "filled")
+    return each.withColumn("candidate_key", key).drop("rows", "filled")
 
 
 def profile_rows(df: DataFrame) -> DataFrame:
@@ -123,19 +123,26 @@ def spelling_key(values: pd.Series) -> pd.Series:
     return values.map(lambda x: "".join(c for c in unicodedata.normalize("NFKC", x).casefold() if c.isalnum()))
 
 
-def variations(df: DataFrame, name: str) -> tuple[int, int]:
-    """How many different values of a text column differ in case or spaces only, and in punctuation too. Columns with
-    many different values, against the square root of their rows, have none."""
-    texts = df.select(ustrip(qcol(name).cast("string")).alias("t")).where("t <> ''")
-    rows, distinct = texts.agg(F.count("t"), F.count_distinct("t")).first()
-    if rows < 2 or distinct > max(50, int(rows**0.5) + 5):
-        return 0, 0
-    own = texts.distinct().select("t", category_key("t").alias("c"), spelling_key("t").alias("s"))
-    out = []
-    for key in ("c", "s"):
-        sizes = own.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        out.append(sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    return out[0], out[1]
+def variations(df: DataFrame, names: list[str]) -> dict[str, tuple[int, int]]:
+    """For each text column, how many different values differ in case or spaces only, and in punctuation too. Columns with
+    many different values, against the square root of their rows, have none.
+
+    Whatever the columns, their rows and their values are counted in a job each, and the spellings of those with few
+    in a third.
+    """
+    stripped = {n: F.nullif(ustrip(qcol(n).cast("string")), F.lit("")) for n in names}
+    rows = df.agg(F.lit(0), *[F.count(x) for x in stripped.values()]).first()[1:]
+    most = {n: max(50, int(r**0.5) + 5) for n, r in zip(names, rows, strict=True) if r > 1}
+    few = different(df, {n: stripped[n] for n in most})
+    open_ = [n for n in most if few[n] <= most[n]]
+    if not open_:
+        return {n: (0, 0) for n in names}
+    cells = F.array(*[F.struct(F.lit(n).alias("name"), stripped[n].alias("t")) for n in open_])
+    own = df.select(F.explode(cells).alias("c")).select("c.*").where("t IS NOT NULL").distinct()
+    keys = F.array(*[F.struct(F.lit(k).alias("which"), f("t").alias("key")) for k, f in enumerate((category_key, spelling_key))])
+    sizes = own.select("name", F.explode(keys).alias("k")).groupBy("name", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sums = {(r["name"], r["which"]): r["n"] for r in sizes.groupBy("name", "k.which").agg(F.sum("n").alias("n")).collect()}
+    return {n: (sums.get((n, 0), 0), sums.get((n, 1), 0)) for n in names}
 
 
 def headers(raw: list[str | None], width: int | None = None) -> tuple[list[str], list[str]]:

@@ -78,7 +78,7 @@ def test_profile(spark):
     assert profile.risk(warned) == "high" and ("invalid_dates", "warning") in warned
     assert profile.headers([" A ", None, "a"], 4) == (["A", "Column_2", "a", "Column_4"], ["A", "a"])
     spelled = spark.createDataFrame([("New York",), ("new  york",), ("New-York",), ("Rome",)], "C string")
-    assert profile.variations(spelled, "C") == (2, 3)
+    assert profile.variations(spelled, ["C"]) == {"C": (2, 3)}
 
 
 def test_profile_counts_variations(spark):
