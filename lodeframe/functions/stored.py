@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,20 +42,41 @@ def scratch(spark: SparkSession, name: str) -> str:
     return folder
 
 
+def _plain(df: DataFrame) -> DataFrame:
+    """``df`` with columns that Parquet takes, whatever their names and types."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.withColumns({f.name: F.col(f.name).cast("string") for f in plain.schema if isinstance(f.dataType, T.NullType)})
+
+
+def _back(plain: DataFrame, df: DataFrame) -> DataFrame:
+    """The columns of ``df`` again."""
+    void = {f"c{i}": F.lit(None).cast("void") for i, f in enumerate(df.schema) if isinstance(f.dataType, T.NullType)}
+    return plain.withColumns(void).toDF(*df.columns)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as it comes out of a table in the shared folder, under the same columns, whatever their names.
 
     A lost executor costs its running tasks only, and every reader sees the same rows and partition numbers. The files go
     with release() or when the session's JVM ends.
     """
-    spark = df.sparkSession
-    folder = scratch(spark, name)
-    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    void = [f.name for f in plain.schema if isinstance(f.dataType, T.NullType)]  # Parquet has no such type
-    plain = plain.withColumns({c: F.col(c).cast("string") for c in void})
+    folder = scratch(df.sparkSession, name)
+    plain = _plain(df)
     plain.write.parquet(folder)
-    back = spark.read.schema(plain.schema).parquet(folder)
-    return back.withColumns({c: F.lit(None).cast("void") for c in void}).toDF(*df.columns)
+    return _back(df.sparkSession.read.schema(plain.schema).parquet(folder), df)
+
+
+def stored_parts(df: DataFrame, name: str, part: Column, parts: int) -> list[DataFrame]:
+    """The rows of ``df`` for which ``part`` is 0, 1, ... in a table each, written in one go.
+
+    The parts are folders of one stored table, so that reading one reads nothing else. Rows go to the tasks by their part,
+    and a part with many rows to several of them.
+    """
+    folder, plain = scratch(df.sparkSession, name), _plain(df)
+    dealt = _plain(df.withColumn("__lf_part", part)).withColumnRenamed(f"c{len(df.columns)}", "part").where("part IS NOT NULL")
+    dealt.hint("rebalance", "part").write.partitionBy("part").parquet(folder)
+    whole = df.sparkSession.read.schema(T.StructType([*plain.schema, T.StructField("part", T.IntegerType())])).parquet(folder)
+    return [_back(whole.where(F.col("part") == i).drop("part"), df) for i in range(parts)]
 
 
 def release(spark: SparkSession) -> int:

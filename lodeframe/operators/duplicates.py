@@ -56,13 +56,12 @@ def _merged(df: DataFrame, keys: list[str], p: Duplicates) -> DataFrame:
         if r.strategy == "last_non_blank":
             new = F.max_by(c, where)
         elif r.strategy == "join_unique":
-            text = pystr(df, r.column)
-            ordered = F.array_sort(F.collect_list(F.when(filled, F.struct(F.col("__lf_at").alias("a"), text.alias("t")))))
-            new = F.when(F.size(ordered) > 0, F.array_join(F.array_distinct(F.transform(ordered, lambda x: x["t"])), r.delimiter))
+            continue
         else:
             new = F.min_by(c, where)
             if r.strategy == "require_equal":
-                checks.append((r.column, F.count_distinct(F.when(filled, c)) > 1))
+                own = F.when(filled, c)
+                checks.append((r.column, ~F.min(own).eqNullSafe(F.max(own))))
         values.append(new.alias(r.column))
     groups = [c.alias(f"__lf_key{i}") for i, c in enumerate(key_columns(df, keys))]
     if checks:
@@ -72,8 +71,38 @@ def _merged(df: DataFrame, keys: list[str], p: Duplicates) -> DataFrame:
             if bad[i]:
                 raise EngineError(f"conflicting values of {name!r} can't be merged")
     merged = rows.groupBy(*groups).agg(*values, F.min("__lf_at").alias("__lf_first"))
-    out = merged.select(*[qcol(c) for c in df.columns if c != ORDER], F.col("__lf_first").alias(ORDER))
-    return out
+    if several := [r for r in p.merge_rules if r.strategy == "join_unique"]:
+        texts = _unique_texts(rows, df, groups, several)
+        merged = joined_by_keys(merged, texts, [f"__lf_key{i}" for i in range(len(groups))])
+    return merged.select(*[qcol(c) for c in df.columns if c != ORDER], F.col("__lf_first").alias(ORDER))
+
+
+def joined_by_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the same keys, null equal to null; both have a row for each combination of keys."""
+    of = {k: f"__lf_of{i}" for i, k in enumerate(keys)}
+    match = [qcol(k).eqNullSafe(qcol(o)) for k, o in of.items()]
+    return left.join(right.withColumnsRenamed(of), match).drop(*of.values())
+
+
+def _unique_texts(rows: DataFrame, df: DataFrame, groups: list[Column], rules: list[MergeRule]) -> DataFrame:
+    """By key, each rule's column as its different texts in the order in which they come first.
+
+    The first place of each (key, column, text) is found in each task before anything is shuffled; only the different
+    texts of a key meet, however many rows it has.
+    """
+    cells = [F.struct(F.lit(i).alias("rule"), pystr(df, r.column).alias("text"), (~blank(qcol(r.column))).alias("filled")) for i, r in enumerate(rules)]
+    long = rows.select(*groups, "__lf_at", F.explode(F.array(*cells)).alias("__lf_cell"))
+    keys = [f"__lf_key{i}" for i in range(len(groups))]
+    cell = lambda n: F.col(f"__lf_cell.{n}")
+    # a key without any text keeps its row
+    first = long.groupBy(*keys, cell("rule").alias("rule"), F.when(cell("filled"), cell("text")).alias("text")).agg(F.min("__lf_at").alias("at"))
+
+    def listed(i: int, r: MergeRule) -> Column:
+        own = F.collect_list(F.when((F.col("rule") == i) & F.col("text").isNotNull(), F.struct("at", "text")))
+        texts = F.transform(F.array_sort(own), lambda x: x["text"])
+        return F.when(F.size(texts) > 0, F.array_join(texts, r.delimiter)).alias(r.column)
+
+    return first.groupBy(*keys).agg(*[listed(i, r) for i, r in enumerate(rules)])
 
 
 @operator("duplicates.handle", Duplicates, destructive=lambda p: p.mode != "mark")

@@ -9,6 +9,7 @@ from typing import Literal
 from pydantic import Field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.core import (
     ROW_ID,
@@ -24,7 +25,7 @@ from ..functions.core import (
     visible,
     with_columns,
 )
-
+from ..functions.stored import stored_parts
 from .base import Counts, OpResult, Params, operator
 
 
@@ -98,7 +99,8 @@ def merge_tables(tables: dict[str, DataFrame], p: MergeTables) -> OpResult:
 
 @operator("table.split_by_category", SplitByCategory, destructive=lambda p: p.drop_category_column)
 def split_by_category(df: DataFrame, p: SplitByCategory) -> OpResult:
-    """A further table for each value of a column; the table itself stays. Only the values reach the driver."""
+    """A further table for each value of a column; the table itself stays. Only the values, of which there are max_tables
+    at most, reach the driver; the table is read once to find them and once to write all parts."""
     require_columns(df, [p.category_column])
     c = qcol(p.category_column)
     at = position(df) if ROW_ID in df.columns else F.monotonically_increasing_id()
@@ -109,10 +111,14 @@ def split_by_category(df: DataFrame, p: SplitByCategory) -> OpResult:
         raise EngineError(f"more than {p.max_tables} categories")
     aux: dict[str, DataFrame] = {}
     taken: set[str] = set()
-    for v in values:
+    filled = [(i, v) for i, v in enumerate(values) if v is not None]
+    schema = T.StructType([T.StructField("__lf_value", kind(df, p.category_column)), T.StructField("__lf_number", T.IntegerType())])
+    numbers = F.broadcast(df.sparkSession.createDataFrame([(v, i) for i, v in filled], schema))
+    numbered = df.join(numbers, c == F.col("__lf_value"), "left") if filled else df.withColumn("__lf_number", F.lit(None).cast("int"))
+    number = F.when(c.isNull(), F.lit(values.index(None) if None in values else None)).otherwise(F.col("__lf_number")).cast("int")
+    kept = [x for x in df.columns if not p.drop_category_column or x != p.category_column]
+    parts = stored_parts(numbered.withColumn("__lf_number", number).select(*[qcol(x) for x in kept], "__lf_number"), "categories", F.col("__lf_number"), len(values))
+    for v, part in zip(values, parts, strict=True):
         label = "Blank" if v is None or not str(v).strip() else str(v)
-        part = df.where(c.isNull() if v is None else c == F.lit(v))
-        if p.drop_category_column:
-            part = part.select(*[qcol(x) for x in df.columns if x != p.category_column])
-        aux[safe_table_name(p.table_prefix + label, taken)] = part
+        aux[safe_table_name(p.table_prefix + label, taken)] = part.drop("__lf_number")
     return OpResult(df, aux=aux, counts=Counts(df, {"source_rows": F.count(F.lit(1))}, {"created_tables": len(aux)}))

@@ -9,7 +9,7 @@ from pydantic import Field, model_validator
 
 from ..functions.core import EngineError
 from ..operators.base import Params
-from ..operators.calculations import Age, Arithmetic, DateDifference, Gst, Percentage, QuantityPrice
+from ..operators.calculations import Age, ChainedArithmetic, DateDifference, Gst, OrderedArithmetic, Percentage, QuantityPrice
 
 TWO = ("subtraction", "division", "percentage", "quantity_price", "date_difference")
 # What a spreadsheet computes, with {0}, {1} for the operands' cells.
@@ -74,7 +74,7 @@ def spec_of(action) -> FormulaSpec | None:
     """The formula of a calculation, or None where a spreadsheet has none for it: calculations with constants, by whole
     months or years, and those over several rows."""
     common = {"output_column": action.output, "kind": action.kind}
-    if isinstance(action, Arithmetic):
+    if isinstance(action, (ChainedArithmetic, OrderedArithmetic)):
         operands = [x.column for x in action.operands]
     elif isinstance(action, Percentage):
         operands = [action.numerator.column, action.denominator.column]

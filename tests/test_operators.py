@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 from pydantic import ValidationError
+from pyspark.sql import functions as F
 
 from lodeframe.functions.core import ORDER, ROW_ID, EngineError
 from lodeframe.operators import REGISTRY, apply
@@ -30,23 +31,28 @@ def test_twelve_operators_are_registered():
 @pytest.mark.parametrize(
     ("value", "action", "expected"),
     [
-        ("  a  ", {"kind": "trim"}, "a"),
-        ("\x1fa\x1c", {"kind": "trim"}, "a"),
-        ("a\t  b", {"kind": "collapse_spaces"}, "a b"),
-        ("a\x00b\tc d", {"kind": "remove_non_printing"}, "abc d"),
-        ("Ａ", {"kind": "normalize_unicode"}, "A"),
-        ("é", {"kind": "normalize_unicode", "form": "NFC"}, "é"),
-        ("o'neil-smith 3rd", {"kind": "proper_case"}, "O'Neil-Smith 3Rd"),
-        ("straße", {"kind": "uppercase"}, "STRASSE"),
-        ("ABC", {"kind": "lowercase"}, "abc"),
-        ("a.b.c", {"kind": "replace", "find": ".", "replacement": "$1"}, "a$1b$1c"),
-        ("x", {"kind": "mapping_replace", "mapping": {"x": "y"}}, "y"),
-        ("z", {"kind": "mapping_replace", "mapping": {"x": "y"}}, "z"),
-        ("a-b]c", {"kind": "remove_characters", "characters": "]-"}, "abc"),
-        ("mr. Ada", {"kind": "remove_prefixes", "values": ["Mr. "], "case_sensitive": False}, "Ada"),
-        ("aab", {"kind": "remove_prefixes", "values": ["a", "aa"]}, "ab"),
-        ("Ada Ltd", {"kind": "remove_suffixes", "values": [" Inc", " Ltd"]}, "Ada"),
-        ("Ada", {"kind": "remove_suffixes", "values": [""]}, "Ada"),
+        # white space at the ends: ASCII, no-break, the separators of ASCII
+        ("\n\u00a0note \t", {"kind": "trim"}, "note"),
+        ("\x1drow\x1e", {"kind": "trim"}, "row"),
+        ("one\u2003\n two", {"kind": "collapse_spaces"}, "one two"),
+        # prefixes: the first that fits, once
+        ("ccd", {"kind": "remove_prefixes", "values": ["x", "c", "cc"]}, "cd"),
+        ("dR. Who", {"kind": "remove_prefixes", "values": ["Dr. "], "case_sensitive": False}, "Who"),
+        ("dR. Who", {"kind": "remove_prefixes", "values": ["Dr. "]}, "dR. Who"),
+        ("Acme GmbH", {"kind": "remove_suffixes", "values": [" AG", " GmbH"]}, "Acme"),
+        ("Acme", {"kind": "remove_suffixes", "values": [""]}, "Acme"),
+        # characters and texts are taken literally
+        ("1^2\\3", {"kind": "remove_characters", "characters": "^\\"}, "123"),
+        ("x*y*", {"kind": "replace", "find": "*", "replacement": "\\0"}, "x\\0y\\0"),
+        ("left\x07\u200bright", {"kind": "remove_non_printing"}, "leftright"),
+        # letters beyond ASCII
+        ("\ufb01n", {"kind": "normalize_unicode"}, "fin"),
+        ("u\u0308", {"kind": "normalize_unicode", "form": "NFC"}, "\u00fc"),
+        ("gro\u00df", {"kind": "uppercase"}, "GROSS"),
+        ("\u00c4RGER", {"kind": "lowercase"}, "\u00e4rger"),
+        ("d'arcy 2nd-born", {"kind": "proper_case"}, "D'Arcy 2Nd-Born"),
+        ("no", {"kind": "mapping_replace", "mapping": {"no": "0", "yes": "1"}}, "0"),
+        ("No", {"kind": "mapping_replace", "mapping": {"no": "0", "yes": "1"}}, "No"),
     ],
 )
 def test_text_clean(spark, value, action, expected):
@@ -54,26 +60,31 @@ def test_text_clean(spark, value, action, expected):
     assert column(apply("text.clean", df, columns=["Text"], actions=[action]).df, "Text") == [expected, None]
 
 
-def test_text_clean_takes_text_only(spark):
+def test_cleaning_refuses_numbers(spark):
     with pytest.raises(EngineError, match="text column"):
-        apply("text.clean", frame(spark, "Value int", (1,)), columns=["Value"], actions=[{"kind": "trim"}])
+        apply("text.clean", frame(spark, "N double", (0.5,)), columns=["N"], actions=[{"kind": "uppercase"}])
 
 
 @pytest.mark.parametrize(
     ("value", "parameters", "expected"),
     [
-        ("orissa", {"mode": "state"}, "Odisha"),
-        (" BLR ", {"mode": "district", "mapping": {"blr": "Bengaluru"}}, "Bengaluru"),
-        ("A", {"mode": "status_category", "mapping": {"a": "Active"}}, "Active"),
-        ("98765 43210", {"mode": "telephone", "default_country_code": "91"}, "+919876543210"),
-        ("+44 20 7946 0000", {"mode": "telephone"}, "+442079460000"),
-        (" ADA@EXAMPLE.COM ", {"mode": "email"}, "ada@example.com"),
-        ("17/07/2026", {"mode": "date"}, "2026-07-17"),
-        ("02/03/2026", {"mode": "date", "output_date_format": "%d %b %Y"}, "02 Mar 2026"),
-        ("31/02/2026", {"mode": "date"}, "31/02/2026"),
-        ("Unknown State", {"mode": "state"}, "Unknown State"),
-        ("Unknown State", {"mode": "state", "invalid_policy": "null"}, None),
-        ("  ", {"mode": "state", "invalid_policy": "null"}, "  "),
+        # The format's names of states
+        ("PONDICHERRY", {"mode": "state"}, "Puducherry"),
+        ("uttaranchal ", {"mode": "state"}, "Uttarakhand"),
+        # own mappings, whatever the case
+        ("nrt", {"mode": "district", "mapping": {"NRT": "North"}}, "North"),
+        ("open ", {"mode": "status_category", "mapping": {"Open": "Active", "shut": "Closed"}}, "Active"),
+        # what can't be told stays, or becomes null
+        ("Atlantis", {"mode": "state"}, "Atlantis"),
+        ("Atlantis", {"mode": "state", "invalid_policy": "null"}, None),
+        ("\t", {"mode": "district", "mapping": {"a": "b"}, "invalid_policy": "null"}, "\t"),
+        ("30/02/2025", {"mode": "date"}, "30/02/2025"),
+        # dates: the day before the month
+        ("01/12/2025", {"mode": "date"}, "2025-12-01"),
+        ("09/01/2025", {"mode": "date", "output_date_format": "%d/%m/%y"}, "09/01/25"),
+        (" Info@Example.Org", {"mode": "email"}, "info@example.org"),
+        ("(030) 123-4567", {"mode": "telephone", "default_country_code": "49"}, "+490301234567"),
+        ("+1 202 555 0143", {"mode": "telephone"}, "+12025550143"),
     ],
 )
 def test_standardize(spark, value, parameters, expected):
@@ -201,6 +212,62 @@ def test_fuzzy_review(spark):
         apply("duplicates.fuzzy_review", df, columns=["Name"], max_comparisons=5)
 
 
+def test_unique_texts_are_joined_in_their_order(spark):
+    rows = [(i, "hot" if i % 3 else None if i % 2 else f"k{i % 5}", f"t{(i * 7) % 4}" if i % 4 else " ", i % 3 * 0.5) for i in range(600)]
+    df = spark.createDataFrame(rows, "`ID` long, `a.K` string, T string, V double").withColumn(ROW_ID, F.col("ID")).repartition(5)
+    rules = [{"column": "ID", "strategy": "last_non_blank"}, {"column": "T", "strategy": "join_unique", "delimiter": "|"}, {"column": "V", "strategy": "join_unique"}]
+    out = apply("duplicates.handle", df, keys=["a.K"], mode="merge_complementary", merge_rules=rules).df
+    wanted = {}
+    for i, k, t, v in rows:
+        own = wanted.setdefault(k, [i, {}, {}])
+        own[0] = i
+        if t.strip():
+            own[1].setdefault(t)
+        own[2].setdefault(str(v))
+    got = {r["a.K"]: (r["ID"], r["T"], r["V"]) for r in out.collect()}
+    assert got == {k: (i, "|".join(t) or None, "; ".join(v)) for k, (i, t, v) in wanted.items()}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    lists = [line for line in plan.splitlines() if "collect_list" in line]
+    assert lists and all("text" in line and "min(" not in line for line in lists)  # of different texts, not of rows
+
+
+def test_split_reads_the_table_once_for_all_parts(spark):
+    df = spark.range(3000).selectExpr("id AS `Row`", "concat('c', id % 180) AS `a.C`", "cast(null AS void) AS n", "double(id) AS v").repartition(4)
+    df = df.withColumn(ROW_ID, F.col("Row") + 1)
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(len(batch))
+            yield batch
+
+    plain = df.drop("n").withColumnRenamed("a.C", "C")
+    counted = plain.mapInPandas(seen, plain.schema).withColumn("n", F.lit(None)).withColumnRenamed("C", "a.C")
+    parts = apply("table.split_by_category", counted, category_column="a.C", drop_category_column=True, table_prefix="x").aux
+    before = reads.value
+    assert list(parts) == [f"xc{i}" for i in range(180)] and before <= 2 * 3000
+    for i in (0, 7, 179):
+        rows = parts[f"xc{i}"].collect()
+        assert parts[f"xc{i}"].columns == ["Row", "v", ROW_ID, "n"]
+        assert sorted((r["Row"], r[ROW_ID], r["n"]) for r in rows) == [(k, k + 1, None) for k in range(i, 3000, 180)]
+    assert reads.value == before  # the parts are read from where they were written
+    assert "part=7" not in parts["xc8"]._jdf.queryExecution().executedPlan().toString()
+    numbers = spark.sql("SELECT * FROM VALUES (1.5D), (double('NaN')), (null), (-0.0D), (0.0D), (double('NaN')) AS t(v)")
+    found = {n: t.count() for n, t in apply("table.split_by_category", numbers, category_column="v").aux.items()}
+    assert sorted(found.values()) == [1, 1, 2, 2] and found["Blank"] == 1
+
+
+@pytest.mark.parametrize("operands", [[{"column": "A"}], [{"column": "A"}] * 3, [{"column": "A"}, {}], [{"column": "A"}, {"column": "B", "value": 2}]])
+def test_operands_of_a_division(spark, operands):
+    df = frame(spark, "A int, B int", (6, 3))
+    with pytest.raises(ValidationError):
+        apply("calculate.column", df, action={"kind": "division", "output": "C", "operands": operands})
+    with pytest.raises(ValidationError):
+        apply("columns.transform", df, actions=[{"kind": "row_number", "step": 0}])
+    out = apply("calculate.column", df, action={"kind": "division", "output": "C", "operands": [{"column": "A", "value": None}, {"value": 4}]})
+    assert column(out.df, "C") == [1.5]
+
+
 def test_columns(spark):
     df = frame(spark, "A int, B int", (1, 2))
     actions = [

@@ -88,6 +88,27 @@ def test_models_are_strict():
         validate_plan(plan(TRIM | {"enabled": False}, DROP | {"depends_on": ["s1"]}))
 
 
+@pytest.mark.parametrize(
+    ("privacy", "fits"),
+    [
+        ({}, True),
+        ({"metadata_upload_consent": True}, False),
+        ({"raw_data_upload_consent": True}, False),
+        ({"mode": "ai_assisted"}, True),
+        ({"mode": "ai_assisted", "metadata_upload_consent": True}, True),
+        ({"mode": "ai_assisted", "raw_data_upload_consent": True}, False),
+        ({"mode": "ai_assisted", "metadata_upload_consent": True, "raw_data_upload_consent": True}, True),
+    ],
+)
+def test_consents(privacy, fits):
+    whole = plan(TRIM).model_dump(mode="json") | {"privacy": privacy}
+    if fits:
+        OperationPlan.model_validate(whole)
+    else:
+        with pytest.raises(ValidationError):
+            OperationPlan.model_validate(whole)
+
+
 def test_preview_reject_execute(spark, tables, tmp_path):
     p = plan(TRIM, DROP)
     seen = preview(p, tables)
