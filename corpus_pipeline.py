@@ -13,7 +13,7 @@ from lodeframe.llm.exact_dedup import without_copies
 from lodeframe.llm.mixing import mixed_documents
 from lodeframe.llm.packing import packed_documents
 from lodeframe.llm.quality import quality, train
-from lodeframe.llm.simhash import without_near_copies
+from lodeframe.llm.similar import without_similar
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that SimHash links."""
-    return without_near_copies(docs)
+    """One document of each group that SimHash links: of sets of five words with a similarity of about 0.8 or more."""
+    return without_similar(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

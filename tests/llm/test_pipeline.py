@@ -4,11 +4,13 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodeframe.llm.common import written
-from lodeframe.llm.simhash import text_fingerprint
+from lodeframe.llm.similar import NEAR, differing, wide_fingerprint
 
 rng = random.Random(4)
 WORDS = ["".join(rng.choices("aeioustrn", k=rng.randint(3, 7))) for _ in range(300)]
@@ -45,12 +47,14 @@ def test_stages(spark, corpus):
     for r in sorted(exact[0], key=lambda r: (-len(r["text"] or ""), r["doc_id"])):
         best.setdefault(bare(r), r["doc_id"])
     assert sorted(r["doc_id"] for r in exact[1]) == sorted(best.values())
-    fps = {r["doc_id"]: text_fingerprint(r["text"]) for r in near[0]}
+    fps = {r["doc_id"]: np.frombuffer(wide_fingerprint(r["text"]), "<u8") for r in near[0]}
+    meets = lambda a, b: differing(a, b) <= NEAR and (a.view("<u2") == b.view("<u2")).any()
     group = {i: i for i in fps}
     for _ in range(5):
         for i in fps:
-            group[i] = min(group[j] for j in fps if (fps[i] ^ fps[j]).bit_count() <= 3)
+            group[i] = min(group[j] for j in fps if meets(fps[i], fps[j]))
     assert {r["doc_id"] for r in near[1]} == set(group.values()) and len(near[1]) == len(set(group.values()))
+    assert not {300 + i for i in range(20)} & set(group.values())  # a word more than 0 to 19
     words = lambda r: len((r["text"] or "").split())
     sizes, taken = Counter(), Counter()
     for r in mixed[0]:
@@ -66,3 +70,19 @@ def test_stages(spark, corpus):
 def test_run(spark, corpus):
     out = corpus_pipeline.run(spark, corpus)
     assert {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} <= set(out.columns) and out.count() > 150
+
+
+def test_an_empty_table(spark, corpus, tmp_path):
+    spark.read.parquet(f"{corpus}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{corpus}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_clashing_columns(spark, corpus, tmp_path):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    more = {n: F.lit(n) for n in ("fp", "v", "u", "root", "best", "kept", "text_hash", "text_sha256", "digest", "component_id", "perplexity", "accepted", "size", "place", "file")}
+    docs.withColumns(more).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{corpus}/labels.parquet").withColumn("text", F.lit("x")).write.parquet(f"{tmp_path}/labels.parquet")
+    key = ("doc_id", "start", "length", "ids_crc32")
+    told = lambda folder: sorted(tuple(r[k] for k in key) for r in corpus_pipeline.run(spark, folder).collect())
+    assert told(str(tmp_path)) == told(corpus)

@@ -1,0 +1,100 @@
+"""Near-dedup by similarity against all pairs."""
+
+import random
+
+import numpy as np
+import pytest
+
+from lodeframe.llm import similar
+
+rng = random.Random(6)
+WORDS = ["".join(rng.choices("aeioustrnlm", k=rng.randint(2, 8))) for _ in range(400)]
+SCHEMA = "doc_id long, text string, fp string, V string, root int"
+
+
+def changed(text, n):
+    words = text.split()
+    for _ in range(n):
+        words[rng.randrange(len(words))] = rng.choice(WORDS)
+    return " ".join(words)
+
+
+def shingles(text, k=5):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def corpus(n=120):
+    texts = [" ".join(rng.choices(WORDS, k=rng.randint(30, 300))) for _ in range(n)]
+    texts += [changed(t, k) for t in texts[:40] for k in (1, 4)]
+    texts += [texts[0] + f" {w}" for w in WORDS[:60]]  # a crowd
+    texts += [texts[1].upper(), texts[1].replace(" ", "  "), "", None, " \n", "one", "One", "two words", "x y z", "w " * 5000]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows += [(None, texts[2]), (None, None), (3, texts[4]), (3, texts[4]), (3, "another " + texts[5])]
+    return [(*r, "x", "y", 1) for r in rows]
+
+
+def groups(rows):
+    """The first of each one's group, by comparing all pairs."""
+    fps = [np.frombuffer(similar.wide_fingerprint(r[1]), "<u8") for r in rows]
+    all_, parent = np.array(fps), list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        near = similar.differing(all_, all_[i]) <= similar.NEAR
+        shares = (all_.view("<u2").reshape(len(rows), -1) == fps[i].view("<u2")).any(axis=1)
+        for j in np.flatnonzero(near & shares).tolist():
+            a, b = root(i), root(j)
+            parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(rows))]
+
+
+@pytest.mark.parametrize(("crowded", "held"), [(512, 50_000), (3, 50_000), (3, 10)])
+def test_groups(spark, monkeypatch, crowded, held):
+    monkeypatch.setattr(similar, "CROWDED", crowded)
+    monkeypatch.setattr(similar, "HELD", held)
+    rows = corpus()
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    out = similar.without_similar(docs)
+    assert out.columns == docs.columns
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in out.collect())
+    by = {}
+    for i, g in enumerate(groups(rows)):
+        by.setdefault(g, []).append(rows[i])
+    ids = sorted((min(r[0] is None for r in g), min((r[0] for r in g if r[0] is not None), default=0)) for g in by.values())
+    assert [x[:2] for x in got] == ids and len(got) < len(rows) - 100
+
+
+def test_similar_documents_are_found_and_others_left_alone(spark):
+    rng.seed(11)
+    base = [" ".join(rng.choices(WORDS, k=rng.randint(100, 500))) for _ in range(300)]
+    rows = [(i, t, "", "", 0) for i, t in enumerate(base)]
+    rows += [(1000 + i, changed(t, len(t.split()) // 60), "", "", 0) for i, t in enumerate(base)]
+    rows += [(5000 + i, " ".join(rng.choices(WORDS, k=300)) + " " + " ".join(WORDS[:60]), "", "", 0) for i in range(200)]  # a shared passage
+    kept = {r["doc_id"] for r in similar.without_similar(spark.createDataFrame(rows, SCHEMA)).select("doc_id").collect()}
+    jaccard = lambda a, b: len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+    near = [i for i in range(300) if jaccard(rows[i][1], rows[300 + i][1]) >= 0.8]
+    assert len(near) > 200 and sum(1000 + i not in kept for i in near) >= 0.95 * len(near)
+    assert {i for i in kept if i < 1000 or i >= 5000} == {*range(300), *range(5000, 5200)}
+
+
+def test_fingerprints_are_of_sets():
+    text = " ".join(rng.choices(WORDS, k=200))
+    assert similar.wide_fingerprint(text + " " + text) != similar.wide_fingerprint(text)
+    assert similar.wide_fingerprint("A b c d e " * 9) == similar.wide_fingerprint("a B c d e\n" * 7)
+    assert similar.wide_fingerprint(None) == similar.wide_fingerprint(" ") == bytes(128)
+    long = " ".join(f"w{i}" for i in range(9000))
+    step, similar.STEP = similar.STEP, 100
+    try:
+        small = similar.wide_fingerprint(long)
+    finally:
+        similar.STEP = step
+    assert small == similar.wide_fingerprint(long)
+
+
+def test_empty_table(spark):
+    assert similar.without_similar(spark.createDataFrame([], SCHEMA)).collect() == []
