@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _folders: list[str] = []
+_tables: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -79,9 +80,23 @@ def stored_parts(df: DataFrame, name: str, part: Column, parts: int) -> list[Dat
     return [_back(whole.where(F.col("part") == i).drop("part"), df) for i in range(parts)]
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``df`` as a stored table in as many buckets of ``key`` as a shuffle has partitions, one file each: joins of two such
+    tables by their keys shuffle neither. The session's catalog knows it by a name of its own until release()."""
+    spark = df.sparkSession
+    folder, n, plain = scratch(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions")), _plain(df)
+    at = f"c{df.columns.index(key)}"
+    table = f"lf_{folder.rsplit('/', 1)[-1].replace('-', '_')}"
+    plain.repartition(n, at).write.bucketBy(n, at).sortBy(at).option("path", folder).saveAsTable(table)
+    _tables.append(table)
+    return _back(spark.table(table), df)
+
+
 def release(spark: SparkSession) -> int:
     """Deletes all folders that scratch() has given out so far, and says how many; what still reads from them fails."""
     n = len(_folders)
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     while _folders:
         path, system = _path(spark, _folders.pop())
         system.delete(path, True)

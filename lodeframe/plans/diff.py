@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import ROW_ID, qcol, visible
+from ..functions.core import HIDDEN, ROW_ID, qcol, visible
+from ..functions.stored import bucketed
 from .identity import numbered
 
 #: Kinds of changes in their order.
 KINDS = ("row_deleted", "row_added", "cell_changed", "row_reordered", "column_deleted", "column_added")
 CHANGE = "struct<kind:string,column:string,old:string,new:string>"
 
+#: A row's rank in its table, where that is known.
+PLACE = HIDDEN + "place"
+
+
+def side(df: DataFrame) -> DataFrame:
+    """A table with its rows' ranks, stored in buckets of the row ids, to be compared with other states of it."""
+    return bucketed(numbered(df, PLACE), "state", ROW_ID)
+
 
 def _text(c: Column) -> Column:
     return c.cast("string")
@@ -38,18 +47,19 @@ def changes(before: DataFrame, after: DataFrame, reordered: bool = True) -> Data
     """row_id, kind, column, old, new and change_id: what differs, cell by cell. Both tables carry row ids.
 
     One full join by row id; a row that is on both sides unfolds into its changes. With ``reordered``, positions are
-    compared too, so that a deletion counts as a move of all rows below it.
+    compared too, so that a deletion counts as a move of all rows below it. Sides that side() has stored are joined without a
+    shuffle.
     """
     common = [c for c in visible(before) if c in after.columns]
     gone = [c for c in visible(before) if c not in after.columns]
     new = [c for c in visible(after) if c not in before.columns]
     if reordered:
-        before, after = numbered(before, "__lf_place"), numbered(after, "__lf_place")
+        before, after = (df if PLACE in df.columns else numbered(df, PLACE) for df in (before, after))
     side = lambda df, mark: df.select(
         qcol(ROW_ID).alias(f"{mark}_id"),
         *[qcol(c).alias(f"{mark}_{i}") for i, c in enumerate(visible(df))],
         _row(df).alias(f"{mark}_row"),
-        *([F.col("__lf_place").alias(f"{mark}_place")] if reordered else []),
+        *([F.col(PLACE).alias(f"{mark}_place")] if reordered else []),
     )
     index = lambda df, c: visible(df).index(c)
     joined = side(before, "b").join(side(after, "a"), F.col("b_id") == F.col("a_id"), "full")

@@ -37,8 +37,11 @@ class StepRun:
     before: DataFrame
     after: DataFrame
 
+    #: The states before and after as diff.side() stores them, where a run has kept them.
+    sides: tuple[DataFrame, DataFrame] | None = None
+
     def changes(self) -> DataFrame:
-        return diff.changes(self.before, self.after)
+        return diff.changes(*(self.sides or (self.before, self.after)))
 
 
 @dataclass
@@ -47,6 +50,9 @@ class Run:
     sources: dict[TableKey, DataFrame]
     tables: dict[TableKey, DataFrame]
     steps: list[StepRun] = field(default_factory=list)
+    #: With kept states, the first and the last of each table.
+    first_sides: dict[TableKey, DataFrame] = field(default_factory=dict)
+    last_sides: dict[TableKey, DataFrame] = field(default_factory=dict)
 
     def warnings(self) -> list[str]:
         return [f"{s.step.step_id}: {w}" for s in self.steps for w in s.result.told()]
@@ -77,11 +83,28 @@ def _target(step: PlanStep, tables: dict[TableKey, DataFrame]) -> TableKey:
     return own[0]
 
 
-def run_plan(plan: OperationPlan, tables: dict[TableKey, DataFrame]) -> Run:
-    """Runs the enabled steps in order. Everything stays lazy but for what a step has to know of its data."""
+def run_plan(plan: OperationPlan, tables: dict[TableKey, DataFrame], keep: bool = False) -> Run:
+    """Runs the enabled steps in order. Everything stays lazy but for what a step has to know of its data.
+
+    With ``keep``, each state of a table that a step changes is stored once, in buckets of the row ids: the next step and the
+    comparisons of both steps read it, so that no step runs again for a later one and no comparison shuffles.
+    """
     params = validate_plan(plan)
     sources = with_ids(tables)
     run = Run(plan, sources, dict(sources))
+    side_of = run.last_sides
+
+    def kept(key: TableKey, df: DataFrame) -> DataFrame:
+        side_of[key] = diff.side(df)
+        run.tables[key] = side_of[key].drop(diff.PLACE)
+        return run.tables[key]
+
+    if keep:
+        targets = {step.target.source_id for step in plan.steps if step.enabled}
+        for key in sources:
+            if key[0] in targets:
+                sources[key] = kept(key, sources[key])
+        run.first_sides.update(side_of)
     for step in plan.steps:
         if not step.enabled:
             continue
@@ -101,13 +124,20 @@ def run_plan(plan: OperationPlan, tables: dict[TableKey, DataFrame]) -> Run:
         after = result.df if ROW_ID in result.df.columns else identified(result.df)
         check_names(after)
         run.tables[key] = after
+        sides = None
+        if keep:
+            earlier = side_of[key]
+            after = kept(key, after)
+            sides = (earlier, side_of[key])
         for name, table in result.aux.items():
             if (key[0], name) in run.tables:
                 raise EngineError(f"{step.step_id}: table {name!r} exists already")
             if not table.columns:
                 continue
             run.tables[key[0], name] = table if ROW_ID in table.columns else identified(table)
-        run.steps.append(StepRun(step, key, result, before, after))
+            if keep:
+                kept((key[0], name), run.tables[key[0], name])
+        run.steps.append(StepRun(step, key, result, before, after, sides))
     return run
 
 
@@ -148,14 +178,13 @@ class Preview:
 
 def preview(plan: OperationPlan, tables: dict[TableKey, DataFrame], limit: int = 10_000) -> Preview:
     """Runs a plan and gathers what a reviewer sees: how many changes, and the first of them."""
-    run = run_plan(plan, tables)
+    run = run_plan(plan, tables, keep=True)
     total, seen = 0, []
     for s in run.steps:
-        found = s.changes().persist()
+        found = s.changes()
         total += found.count()
         if len(seen) < limit:
             seen += [r.asDict() | {"step_id": s.step.step_id} for r in diff.sample(found, limit - len(seen)).collect()]
-        found.unpersist()
     return Preview(run, plan.digest(), run.digest(), total, seen)
 
 
@@ -205,7 +234,9 @@ def reconcile_run(run: Run, tables: dict[TableKey, DataFrame] | None = None) ->
     names = named(run.plan, tables)
     out: dict[str, Any] = {"created_tables": sorted(names[k] for k in tables if k not in run.sources), "tables": {}}
     for key, before in run.sources.items():
-        row = reconcile.row_changes(before, tables[key]).first().asDict()
+        same = tables[key] is run.tables[key] and key in run.first_sides
+        sides = (run.first_sides[key], run.last_sides[key]) if same else (before, tables[key])
+        row = reconcile.row_changes(*sides).first().asDict()
         row["totals"] = {r["column"]: (r["before"], r["after"]) for r in reconcile.totals(before, tables[key]).collect()}
         out["tables"][names[key]] = row
     out["duplicates_removed"] = sum(m.get("duplicate_rows", 0) for s, m in run.metrics().items() if next(x for x in run.steps if x.step.step_id == s).step.destructive)
@@ -245,7 +276,7 @@ def execute(
             raise EngineError("the approval is of another preview")
         before = {str(s): source_state(spark, s) for s in sources}
         receipts = [back_up(s, backup_folder, str(plan.job_id)) for s in before] if backup_folder else []
-        run = run_plan(plan, tables)
+        run = run_plan(plan, tables, keep=True)
         if run.digest() != seen.result_digest:
             raise EngineError("the data or the plan has changed since the preview")
         final = without_rejected(Preview(run, seen.plan_digest, seen.result_digest, seen.changes, seen.sample), approval.rejected_changes)

@@ -7,6 +7,7 @@ import pytest
 from pydantic import ValidationError
 
 from lodeframe.functions.core import EngineError
+from lodeframe.functions.stored import release
 from lodeframe.plans import diff, reconcile
 from lodeframe.plans.identity import identified
 from lodeframe.plans.instructions import InstructionParser
@@ -132,6 +133,29 @@ def test_preview_reject_execute(spark, tables, tmp_path):
     assert not (tmp_path / "new").exists()
 
 
+def test_kept_states_are_compared_without_a_shuffle(spark, tables):
+    steps = [
+        step(1, "text.clean", {"columns": ["Name"], "actions": [{"kind": "trim"}]}),
+        step(2, "rows.sort", {"keys": [{"column": "ID", "descending": True}]}),
+        step(3, "rows.filter", {"conditions": [{"kind": "numeric", "column": "ID", "operator": "lt", "value": 3}]}, True),
+        step(4, "columns.transform", {"actions": [{"kind": "rename", "mapping": {"V": "a.W"}}]}),
+        step(5, "duplicates.handle", {"keys": ["ID"], "mode": "move"}, True),
+    ]
+    plain, kept = run_plan(plan(*steps), tables), run_plan(plan(*steps), tables, keep=True)
+    assert plain.digest() == kept.digest()
+    told = lambda s: sorted(map(repr, (tuple(r) for r in s.changes().collect())))
+    for a, b in zip(plain.steps, kept.steps, strict=True):
+        assert told(a) == told(b)
+        assert "Exchange" not in b.changes()._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" in a.changes()._jdf.queryExecution().executedPlan().toString()
+    assert reconcile_run(plain) == reconcile_run(kept)
+    key = (SOURCE, "CSV")
+    joined = reconcile.row_changes(kept.first_sides[key], kept.last_sides[key])._jdf.queryExecution().executedPlan().toString()
+    assert joined.count("Exchange") == 1  # of the one row of figures
+    assert "__lf_place" not in kept.tables[key].columns and release(spark) > 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("lf_")]
+
+
 def test_rejecting_two_steps_restores_the_first_value(tables):
     steps = [step(i, "text.clean", {"columns": ["Name"], "actions": [{"kind": "mapping_replace", "mapping": {a: b}}]}) for i, (a, b) in enumerate([("Cy", "B"), ("B", "C")], 1)]
     seen = preview(plan(*steps), tables)
