@@ -93,3 +93,19 @@ def numbered(df: DataFrame, output: str, start: int = 1, step: int = 1) -> DataF
     if ROW_ID not in df.columns:
         df = identified(df)
     return dense(df, output, [position(df)], start, step)
+
+
+def apart(tables: dict[object, DataFrame]) -> dict[object, DataFrame]:
+    """The tables with row ids that no two rows share, table after table. Ids that a table has already are moved up only if
+    they don't lie behind those of the tables before it."""
+    out, last = {}, 0
+    for key, df in tables.items():
+        if ROW_ID in df.columns and len(tables) > 1:
+            low, high = df.agg(F.min(ROW_ID), F.max(ROW_ID)).first()
+            by = last if low is not None and low <= last else 0
+            out[key] = df.withColumn(ROW_ID, F.col(ROW_ID) + F.lit(by)) if by else df
+            last = max(last, (high or 0) + by)
+        else:
+            out[key] = identified(df, last)
+            last += df.count() if len(tables) > 1 else 0
+    return out

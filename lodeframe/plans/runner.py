@@ -22,7 +22,7 @@ from ..sources.formulas import FormulaSpec, spec_of
 from . import diff, reconcile
 from .backup import back_up
 from .digests import table_digest
-from .identity import identified
+from .identity import apart, identified
 from .publish import Publication, digests, output_names, source_state, write_parts
 from .schema import OperationPlan, PlanStep, plan_rules, validate_plan
 
@@ -67,11 +67,7 @@ class Run:
 
 def with_ids(tables: dict[TableKey, DataFrame]) -> dict[TableKey, DataFrame]:
     """Tables with row ids that no two rows of the job share, table after table in the order of their keys."""
-    out, offset = {}, 0
-    for key in sorted(tables, key=lambda k: (str(k[0]), k[1])):
-        out[key] = identified(tables[key], offset)
-        offset += tables[key].count() if len(tables) > 1 else 0
-    return out
+    return apart({key: tables[key] for key in sorted(tables, key=lambda k: (str(k[0]), k[1]))})
 
 
 def _target(step: PlanStep, tables: dict[TableKey, DataFrame]) -> TableKey:

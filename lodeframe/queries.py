@@ -16,6 +16,7 @@ from .plans import diff, reconcile
 from .plans.publish import published
 from .plans.runner import approve, execute, exported, preview, run_plan
 from .plans.schema import OperationPlan
+from .sources.csv_records import csv_records, parsed, reject_ragged
 from .sources.readers import widened
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -677,6 +678,20 @@ def order_plan() -> OperationPlan:
     )
 
 
+@query(r"""SELECT o_orderkey, o_totalprice, o_orderdate::DATE AS o_orderdate,
+CASE WHEN o_orderkey % 3 = 0 THEN 'says "' || lower(o_orderpriority) || '",' || chr(10) || '"' || o_orderstatus || '", ' || chr(10) || chr(10) || 'end' ELSE o_orderpriority END AS note
+FROM orders""")
+def csv_quoted_lines(spark, d):
+    """Orders written as CSV, some with quotes, separators and line ends in a cell, and read back by splits."""
+    df = table(spark, d, "orders", "o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority", "o_orderstatus")
+    note = F.concat(F.lit('says "'), F.lower("o_orderpriority"), F.lit('",\n"'), "o_orderstatus", F.lit('", \n\nend'))
+    note = F.when(F.col("o_orderkey") % 3 == 0, note).otherwise(F.col("o_orderpriority"))
+    place = scratch(spark, "csv")
+    rows = df.select("o_orderkey", "o_totalprice", F.col("o_orderdate").cast("date").alias("o_orderdate"), note.alias("note"))
+    rows.write.csv(place, header=True, quote='"', escape='"')
+    return widened(parsed(reject_ragged(csv_records(spark, place)), ",", ROW_ID)).drop(ROW_ID)
+
+
 @query("""SELECT 'customer - Parquet' AS name, c_custkey AS k, upper(c_name) AS v FROM customer UNION ALL SELECT 'supplier - Parquet', s_suppkey, s_name FROM supplier""")
 def publish_two_sources(spark, d):
     """Two sources whose tables have one name are previewed, approved, published and read back."""

@@ -13,23 +13,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.core import EngineError, check_names
+from ..functions.core import ROW_ID, EngineError, check_names
 from ..functions.profile import headers
+from .csv_records import csv_records, parsed, reject_ragged
 
 #: Name of the one table of a CSV or Parquet file.
 ONLY = {".csv": "CSV", ".parquet": "Parquet"}
 # Namespaces of workbooks.
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+#: A CSV file of more bytes is read by several tasks, though its quoted cells may hold line ends.
+LARGE = 32 << 20
 #: Guards for archives: members, bytes of one, bytes of all, times the packed size.
 ARCHIVE_LIMITS = (10_000, 256 << 20, 1 << 30, 200)
 
 
 def first_bytes(spark: SparkSession, path: str, size: int = 8192) -> bytes:
-    """The beginning of a file in any store that Spark reads."""
+    """The beginning of a file, or of the first one of a folder, in any store that Spark reads."""
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(place) and fs.getFileStatus(place).isDirectory():
+        place = jvm.org.apache.hadoop.fs.Path(min(spark.read.text(path).inputFiles()))
     stream = fs.open(place)
     try:
         out = bytearray()
@@ -60,9 +65,24 @@ def widened(df: DataFrame) -> DataFrame:
     )
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
-    """UTF-8 with a header; types from all rows, ISO dates as dates, empty cells as null."""
-    sep = delimiter or sniffed_delimiter(first_bytes(spark, path))
+def _is_large(spark: SparkSession, path: str) -> bool:
+    """Whether a path is a file or folder that several tasks should read."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(place) and fs.getContentSummary(place).getLength() > LARGE
+
+
+def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, strict: bool = False) -> DataFrame:
+    """UTF-8 with a header; types from all rows, ISO dates as dates, empty cells as null.
+
+    A large file or folder is read by several tasks and has its row ids; smaller ones, and files whose lines end with carriage
+    returns alone, go to a task each. ``strict`` refuses rows with more or fewer cells than the header, by their lines.
+    """
+    head = first_bytes(spark, path)
+    sep = delimiter or sniffed_delimiter(head)
+    if strict or (_is_large(spark, path) and not (b"\r" in head and b"\n" not in head)):
+        records = csv_records(spark, path, sep)
+        return check_names(widened(parsed(reject_ragged(records) if strict else records, sep, ROW_ID)))
     df = spark.read.options(header=True, inferSchema=True, multiLine=True, sep=sep, quote='"', escape='"', enforceSchema=False).csv(path)
     return check_names(widened(df))
 
@@ -198,10 +218,18 @@ def table_names(path: str) -> list[str]:
     return [ONLY[suffix]] if suffix in ONLY else sheet_names(path)
 
 
+def read_csv_files(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
+    """Tables of CSV files by their names; if any has row ids, all have, file after file."""
+    from ..plans.identity import apart
+
+    tables = {name: read_csv(spark, p) for name, p in paths.items()}
+    return apart(tables) if any(ROW_ID in df.columns for df in tables.values()) else tables
+
+
 def union_csv_files(spark: SparkSession, paths: list[str], union_by_name: bool = True) -> DataFrame:
     from ..operators.tables import united
 
-    return united({p: read_csv(spark, p) for p in paths}, "union" if union_by_name else "strict")
+    return united(read_csv_files(spark, {p: p for p in paths}), "union" if union_by_name else "strict")
 
 
 def from_pandas(spark: SparkSession, frame) -> DataFrame:

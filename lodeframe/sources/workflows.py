@@ -9,14 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.core import EngineError
 from ..operators import apply
 from ..operators.tables import safe_table_name, united
-from .readers import read_csv, read_worksheet, sheet_names
+from .readers import read_csv, read_csv_files, read_worksheet, sheet_names
 from .writers import write_csv, write_workbook
 
 
 def merge_csv_files(spark: SparkSession, sources: list[str], destination: str, schema_mode: str = "strict", source_column: str | None = None) -> Path:
-    tables = {Path(s).name: read_csv(spark, s) for s in sources}
-    if len(tables) < len(sources):
+    paths = {Path(s).name: s for s in sources}
+    if len(paths) < len(sources):
         raise EngineError("files must differ in name")
+    tables = read_csv_files(spark, paths)
     return write_csv(united(tables, schema_mode, source_column), destination)
 
 
