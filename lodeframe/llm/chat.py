@@ -81,13 +81,17 @@ def preference_pairs(turns: DataFrame, trained_role: str = "assistant") -> DataF
     in any order give one result and repeated rows are repeated turns; null texts are empty, null roles are '' and null
     turns come first. A pair of which one side is missing has a null completion there, an empty prompt and the other side
     whole. Where one conversation is the beginning of the other, its completion is empty; where both are equal, both are.
-    A null pair_id is a pair. Other sides and columns are not read, whatever their names; an empty table gives an empty
+    A row with a null pair_id belongs to no other: each is a pair of its own with that one turn, so that such rows, however
+    many, never meet. Other sides and columns are not read, whatever their names; an empty table gives an empty
     one. A conversation of any length has to fit into one row, as its rendering does.
     """
     turn = _turn(F.coalesce(quoted("text").cast("string"), F.lit("")))
     of = lambda side: F.collect_list(F.when(quoted("side") == side, turn)).alias(side)
-    pairs = turns.where(quoted("side").isin("chosen", "rejected")).groupBy("pair_id").agg(of("chosen"), of("rejected"))
-    return formatted(pairs, trained_role)
+    turns = turns.where(quoted("side").isin("chosen", "rejected"))
+    pairs = turns.where(quoted("pair_id").isNotNull()).groupBy("pair_id").agg(of("chosen"), of("rejected"))
+    alone = lambda side: F.when(quoted("side") == side, F.array(turn)).otherwise(F.array()).alias(side)
+    single = turns.where(quoted("pair_id").isNull()).select("pair_id", alone("chosen"), alone("rejected"))
+    return formatted(pairs.unionByName(single), trained_role)
 
 
 def swapped_conversations(conversations: DataFrame) -> DataFrame:
@@ -95,12 +99,17 @@ def swapped_conversations(conversations: DataFrame) -> DataFrame:
 
     Each conversation is chosen. Its rejected side has the same turns, but what the assistant says last comes from the
     other conversation of the same two (ids 2k and 2k + 1). A conversation without such a turn, or whose other one has
-    none, has no rejected side. Both conversations of two are brought together once.
+    none, has no rejected side. Both conversations of two are brought together once. Ids may be texts: those that aren't
+    whole numbers as they are written have no other conversation. A row with a null conv_id is a conversation of its own,
+    without other turns and without a rejected side, so that such rows, however many, never meet.
     """
     text = F.coalesce(quoted("text").cast("string"), F.lit(""))
-    half = F.shiftright(quoted("conv_id").cast("long"), 1)
-    row = F.struct(quoted("conv_id").alias("conv_id"), _turn(text).alias("turn"))
-    two = conversations.groupBy(half.alias("half")).agg(F.collect_list(row).alias("rows"))
+    conv, number = quoted("conv_id"), quoted("conv_id").try_cast("long")
+    half = F.when(number.cast("string") == conv.cast("string"), F.shiftright(number, 1))
+    row = F.struct(conv.alias("conv_id"), _turn(text).alias("turn"))
+    named = conversations.where(conv.isNotNull()).groupBy(half.alias("half"), F.when(half.isNull(), conv).alias("own"))
+    two = named.agg(F.collect_list(row).alias("rows")).select("rows")
+    two = two.unionByName(conversations.where(conv.isNull()).select(F.array(row).alias("rows")))
     each = two.select("rows", F.explode(F.array_distinct(F.transform("rows", lambda x: x["conv_id"]))).alias("pair_id"))
 
     def last_said(turns: Column) -> Column:

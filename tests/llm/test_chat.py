@@ -51,6 +51,27 @@ def test_swapped_pairs(spark):
     assert sum(r["side"] == "chosen" for r in out) == len(rows)
 
 
+def test_rows_without_ids_are_conversations_of_their_own(spark):
+    rows = [(None, t % 3, "assistant" if t % 2 else "user", f"t{t}") for t in range(2000)] + [(4, 0, "assistant", "a"), (5, 0, "assistant", "b")]
+    talk = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    out = formatted(swapped_conversations(talk)).collect()
+    alone = [r for r in out if r["pair_id"] is None]
+    assert len(out) == 2002 and len(alone) == 2000
+    assert all(r["prompt"] == "" and r["chosen_turns"] == 1 and r["rejected"] is None for r in alone)
+    assert {r["chosen"] for r in alone} == {f"<|{role}|>\n{text}<|end|>\n" for i, _, role, text in rows if i is None}
+    sides = talk.select(F.col("conv_id").alias("pair_id"), F.lit("rejected").alias("side"), "turn", "role", "text")
+    got = [r for r in preference_pairs(sides).collect() if r["pair_id"] is None]
+    assert len(got) == 2000 and all(r["chosen"] is None and r["rejected_turns"] == 1 for r in got)
+
+
+def test_text_ids(spark):
+    rows = [(c, 0, "assistant", f"said by {c}") for c in ("6", "7", "07", "x", "y", "", " 8", "9")]
+    out = formatted(swapped_conversations(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string"))).collect()
+    rejected = {r["pair_id"]: r["rejected"] for r in out}
+    assert len(out) == 8 and {k for k, v in rejected.items() if v} == {"6", "7"}
+    assert rejected["6"] == "<|assistant|>\nsaid by 7<|end|>\n"
+
+
 def test_both_ways_give_the_same(spark):
     rows = [(c, t, ["user", "assistant", None][(c + t) % 3], None if t == 4 else f"{c % 4} é{t}") for c in range(-3, 40) for t in range(c % 6)]
     rows += [(None, 1, "assistant", "x"), (7, 3, "assistant", "twice"), (7, 3, "assistant", "twice"), (8, None, "assistant", "null turn")]
