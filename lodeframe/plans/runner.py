@@ -159,6 +159,13 @@ def validate_run(run: Run) -> Report:
     return validate_table(bare, rules, visible(run.sources[key]) if key in run.sources else None)
 
 
+def all_reports(run: Run) -> Report:
+    """What the steps that validate found and what the plan's own rules find at the end, as one report: any error in it keeps
+    a result from being published."""
+    reports = [s.result.report for s in run.steps if s.result.report is not None] + [validate_run(run)]
+    return Report(sum(r.checks_run for r in reports), tuple(i for r in reports for i in r.issues))
+
+
 @dataclass
 class Preview:
     run: Run
@@ -225,16 +232,27 @@ def without_rejected(seen: Preview, rejected: frozenset[str]) -> dict[TableKey,
     return tables
 
 
-def reconcile_run(run: Run, tables: dict[TableKey, DataFrame] | None = None) -> dict[str, Any]:
+def reconcile_run(run: Run, tables: dict[TableKey, DataFrame] | None = None, report: Report | None = None) -> dict[str, Any]:
+    """How the tables differ from their sources (rows, totals, created and modified tables), the records that break rules, the
+    required values that are missing, the warnings, and a status: failed, passed_with_warnings or passed."""
     tables = tables or run.tables
+    report = all_reports(run) if report is None else report
     names = named(run.plan, tables)
     out: dict[str, Any] = {"created_tables": sorted(names[k] for k in tables if k not in run.sources), "tables": {}}
+    modified = []
     for key, before in run.sources.items():
         same = tables[key] is run.tables[key] and key in run.first_sides
         sides = (run.first_sides[key], run.last_sides[key]) if same else (before, tables[key])
         row = reconcile.row_changes(*sides).first().asDict()
         row["totals"] = {r["column"]: (r["before"], r["after"]) for r in reconcile.totals(before, tables[key]).collect()}
         out["tables"][names[key]] = row
+        if visible(before) != visible(tables[key]) or row["rows_changed"] + row["rows_added"] + row["rows_removed"]:
+            modified.append(names[key])
+    out["modified_tables"] = sorted(modified)
+    out["invalid_records"] = sum(i.affected_rows for i in report.issues)
+    out["missing_required"] = sum(i.affected_rows for i in report.issues if i.code == "missing_required")
+    out["warnings"] = len(run.warnings()) + sum(i.severity == "warning" for i in report.issues)
+    out["status"] = "failed" if not report.passed else "passed_with_warnings" if out["warnings"] else "passed"
     out["duplicates_removed"] = sum(m.get("duplicate_rows", 0) for s, m in run.metrics().items() if next(x for x in run.steps if x.step.step_id == s).step.destructive)
     return out
 
@@ -276,7 +294,7 @@ def execute(
         if run.digest() != seen.result_digest:
             raise EngineError("the data or the plan has changed since the preview")
         final = without_rejected(Preview(run, seen.plan_digest, seen.result_digest, seen.changes, seen.sample), approval.rejected_changes)
-        report = validate_run(Run(plan, run.sources, final, run.steps))
+        report = all_reports(Run(plan, run.sources, final, run.steps))
         if not report.passed:
             raise EngineError("validation failed: " + "; ".join(i.code for i in report.issues))
         names = named(plan, final)
@@ -295,7 +313,7 @@ def execute(
             "steps": [{"id": s.step.step_id, "operation": s.step.operation, "metrics": s.result.counts.values} for s in run.steps],
             "rejected_changes": len(approval.rejected_changes),
             "checks_run": report.checks_run,
-            "reconciliation": reconcile_run(run, final),
+            "reconciliation": reconcile_run(run, final, report),
             "sources": before,
             "backups": [r.copy for r in receipts],
         }
@@ -308,4 +326,4 @@ def execute(
     return audit
 
 
-__all__ = ["Approval", "Preview", "Run", "approve", "execute", "preview", "run_plan", "validate_run", "without_rejected", "ORIGINAL_ORDER"]
+__all__ = ["Approval", "Preview", "Run", "approve", "execute", "preview", "run_plan", "all_reports", "validate_run", "without_rejected", "ORIGINAL_ORDER"]

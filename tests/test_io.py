@@ -6,6 +6,7 @@ import pytest
 
 from lodeframe.functions import profile, scalars
 from lodeframe.functions.core import EngineError, qcol
+from lodeframe.operators import apply
 from lodeframe.plans.identity import identified
 from lodeframe.sources import readers, workflows, writers
 from lodeframe.streaming import apply_to_stream
@@ -122,6 +123,39 @@ def test_stream(spark, tmp_path):
         apply_to_stream(stream, "rows.sort", keys=[{"column": "T"}])
 
 
+def test_columns_and_spellings_over_streams(spark, tmp_path):
+    rows = [("Ada;x", " A@B.co ", "1,5"), ("Bo", "nobody", "7")]
+    spark.createDataFrame(rows, "T string, M string, N string").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("T string, M string, N string").parquet(f"{tmp_path}/in")
+    actions = [
+        {"kind": "split", "source": "T", "delimiter": ";", "output_columns": ["A", "B"], "keep_source": False},
+        {"kind": "deterministic_id", "output": "I", "columns": ["A"]},
+        {"kind": "lookup", "source": "A", "output": "L", "mapping": {"Ada": "x"}, "unmatched_policy": "null"},
+        {"kind": "combine", "columns": ["A", "L"], "output": "C", "delimiter": "-"},
+        {"kind": "rename", "mapping": {"M": "Mail"}},
+        {"kind": "add", "name": "K", "value": 1},
+        {"kind": "reorder", "columns": ["C"]},
+    ]
+    steps = [("columns.transform", {"actions": actions}), ("values.standardize", {"column": "Mail", "mode": "email"})]
+    steps.append(("values.standardize", {"column": "N", "mode": "numeric_text", "invalid_policy": "null"}))
+    whole, out = spark.read.parquet(f"{tmp_path}/in"), stream
+    for operation, parameters in steps:
+        whole, out = apply(operation, whole, **parameters).df, apply_to_stream(out, operation, **parameters)
+    assert out.isStreaming and out.columns == whole.columns
+    query = out.writeStream.format("memory").queryName("columns").trigger(availableNow=True).start()
+    query.awaitTermination()
+    told = lambda df: sorted(tuple(r) for r in df.collect())
+    assert told(spark.table("columns")) == told(whole) and len(told(whole)) == 2
+    for operation, parameters in (
+        ("columns.transform", {"actions": [{"kind": "row_number"}]}),
+        ("columns.transform", {"actions": [actions[2] | {"unmatched_policy": "reject"}]}),
+        ("values.standardize", {"column": "M", "mode": "email", "invalid_policy": "reject"}),
+        ("values.standardize", {"column": "N", "mode": "numeric_text"}),
+    ):
+        with pytest.raises(EngineError, match="stream"):
+            apply_to_stream(stream, operation, **parameters)
+
+
 def test_entry_without_the_corpus_operators(tmp_path):
     import shutil
     import subprocess

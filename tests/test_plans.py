@@ -172,6 +172,27 @@ def test_failed_validation_publishes_nothing(tables, tmp_path):
     assert list(tmp_path.iterdir()) == []
 
 
+def test_steps_that_validate_gate_the_result(tables, tmp_path):
+    rule = {"kind": "required_fields", "columns": ["V"]}
+    p = plan(step(1, "quality.validate", {"rules": [rule]}), TRIM | {"step_id": "s2"})
+    seen = preview(p, tables)
+    with pytest.raises(EngineError, match="missing_required"):
+        execute(p, tables, seen, approve(seen), tmp_path / "out", lambda t, folder: None)
+    assert list(tmp_path.iterdir()) == []
+    told = reconcile_run(seen.run)
+    assert told["status"] == "failed" and told["missing_required"] == told["invalid_records"] == 1
+    assert told["warnings"] >= 1
+
+
+def test_status_of_a_run(tables):
+    clean = reconcile_run(run_plan(plan(TRIM), tables))
+    assert clean["status"] == "passed" and clean["warnings"] == clean["invalid_records"] == 0
+    assert clean["modified_tables"] == ["CSV"] == list(clean["tables"])
+    email = step(1, "values.standardize", {"column": "Name", "mode": "email"})
+    warned = reconcile_run(run_plan(plan(email), tables))
+    assert (warned["status"], warned["warnings"]) == ("passed_with_warnings", 1)
+
+
 def test_row_ids_are_unique_over_tables_and_merge(spark):
     north, south = (spark.createDataFrame([(i,), (i + 1,)], "ID int").coalesce(1) for i in (1, 5))
     merge = step(1, "tables.merge", {}, target={"source_id": SOURCE, "sheet": "North"})
