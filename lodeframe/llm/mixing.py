@@ -21,9 +21,10 @@ RANGES = 4
 BLOCK_BITS = 5
 
 
-def hash_key(doc_id: Column, seed: str = "mix") -> Column:
-    """60 random bits that depend on the id alone; null ids share one."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def hash_key(doc_id: Column, seed: str = "mix", tie: Column | None = None) -> Column:
+    """60 random bits that depend on the id alone, for null ids on ``tie``; without one these share a key."""
+    unnamed = F.lit("") if tie is None else F.concat(F.lit("\t"), F.coalesce(tie.cast("string"), F.lit("")))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), unnamed)))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
@@ -79,8 +80,8 @@ def mix(
     ``size`` is a column of longs; null counts as 0. taken is what the mix takes of the row, in the unit of size:
     whole epochs first, then the rows in order of their keys up to the source's budget (its target, rounded down), so
     that the row at the cut is taken in part and the sums meet every budget exactly. Rows with equal ids are ordered by
-    size, then by the column ``tie`` if one is named, and rows equal in all can stand for each other. Null ids are one such group, a null source is a source. A row of any
-    size, a very long text's, is taken in part where it lies at the cut. Empty tables give empty results.
+    size, then by the column ``tie`` if one is named, and rows equal in all can stand for each other. Rows with null ids get
+    their keys from ``tie`` and spread like others; without it they are one group. A null source is a source. A row of any size, a very long text's, is taken in part where it lies at the cut. Empty tables give empty results.
     ``rows`` is read three times: give a stored table.
     """
     spark = rows.sparkSession
@@ -91,7 +92,7 @@ def mix(
         *[quoted(c) for c in rows.columns],
         quoted(source).alias(n["source"]),
         F.coalesce(quoted(size), F.lit(0)).cast("long").alias(n["size"]),
-        hash_key(quoted(id_column), seed).alias(n["key"]),
+        hash_key(quoted(id_column), seed, quoted(tie) if tie else None).alias(n["key"]),
     )
     sizes = keyed.groupBy(F.col(n["source"]).alias("source")).agg(
         F.sum(n["size"]).alias("source_size"), F.count(F.lit(1)).alias("source_rows")
@@ -170,8 +171,8 @@ def mixed_documents(
     comes, where its text is. Rows that are equal in id and text take turns at a cut, and only those are brought together.
     """
     seed = options.pop("seed", "mix")
-    key = hash_key(quoted(id_column), seed)
     tie = F.xxhash64(F.coalesce(quoted(text), F.lit("")))
+    key = hash_key(quoted(id_column), seed, tie)
     size = word_count(quoted(text))
     slim = docs.select(quoted(id_column).alias("id"), quoted(source).alias("source"), size.alias("size"), tie.alias("tie"), key.alias("key"))
     order = ("key", "id", "size", "tie")
@@ -221,14 +222,15 @@ def mixed_documents(
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
-    return mix(sized).select("doc_id", "size", "source_size", "target", "taken", "source")
+    tie = F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")))).alias("tie")
+    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), tie), "mix-sizes")
+    return mix(sized, tie="tie").select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS k
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, chr(9) || md5(coalesce(text, '')))), 1, 15))::BIGINT AS k
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeframe.llm.common import word_count
-from lodeframe.llm.mixing import mix, mixed_documents
+from lodeframe.llm.mixing import OP1_SQL, hash_key, mix, mixed_documents, op1_mixing
 
 SCHEMA = "doc_id long, text string, source string, sid int, weight string, `__mix_size` string"
 ROWS = [(i, "w " * (i % 7), "abc"[i % 3] if i % 11 else None, 7, "x", "y") for i in range(60)]
@@ -95,3 +95,18 @@ def test_the_mix_is_what_is_taken(spark, share):
     assert sum(got.values()) == sum(wanted.values()) and len(cuts) <= 3
     by_id = lambda c: {k: sum(n for (i, s, _), n in c.items() if (i, s) == k) for k in {(i, s) for i, s, _ in c}}
     assert by_id(got) == by_id(wanted)
+
+
+def test_null_ids_spread_by_their_texts(spark, tmp_path):
+    import duckdb
+
+    rows = [(None if i % 3 else i, "w " * (i % 5) + str(i % 400), "ab"[i % 2]) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    keys = docs.where("doc_id IS NULL").select(hash_key(F.col("doc_id"), tie=F.xxhash64("text")).alias("k"))
+    assert keys.select(F.shiftright("k", 56)).distinct().count() == 16
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    columns = ["doc_id", "size", "source_size", "target", "taken", "source"]
+    got = sorted(map(repr, (tuple(r) for r in op1_mixing(spark, str(tmp_path)).select(*columns).collect())))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(map(repr, con.sql(f"SELECT {', '.join(columns)} FROM ({OP1_SQL})").fetchall()))
