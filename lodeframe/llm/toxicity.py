@@ -9,6 +9,10 @@ for what the contexts save, and inflected or rare expressions are known by the s
 Toxic documents hold ordinary words as well, so that the toxic likelihood of a word is ``TOXIC_SHARE`` from the toxic
 model and the rest from the ordinary one. A document's two log-likelihoods are divided by its words and compared; a
 logistic regression on the logarithm of what the toxic one is ahead makes this a score between 0 and 1.
+
+No expression is left out of the models. Up to 2 / ``SHARE`` of them are broadcast whole. Of more, the frequent and the leaning
+ones are, with the same figures as in the whole model, and score the words that consist of them where the texts are; every
+other word gets its figure from the stored tables of all expressions and contexts, by joins.
 """
 
 from __future__ import annotations
@@ -33,12 +37,13 @@ from .common import TEXT_ROWS, discounts, fresh, if_small, quoted, written
 SAMPLE = 10_000
 #: Characters in the longest expressions, the predicted one included.
 ORDER = 7
-#: An expression is kept in the model if it makes up more than this share of a class's counts, which 2 / SHARE do at most;
-#: what is not kept backs off. Everything is counted.
+#: An expression is broadcast if it makes up more than this share of a class's counts, which 2 / SHARE do at most; words with
+#: any that isn't are looked up by joins.
 SHARE = 1e-6
-#: Kept too, however rare: expressions that toxic documents have more often than their part of all expressions makes
-#: likely, by so many standard deviations; the first of these numbers that at most 2 / SHARE expressions pass.
-LEANS = (4, 8, 16, 32, 64, 128, 256, 1024, 1 << 16, 1 << 31)
+#: Broadcast too, however rare: expressions that toxic documents have more often than their part of all expressions makes
+#: likely, by so many standard deviations; the first of these numbers that at most 2 / SHARE expressions pass, so that all are
+#: broadcast if they are no more.
+LEANS = (-math.inf, 4, 8, 16, 32, 64, 128, 256, 1024, 1 << 16, 1 << 31)
 #: The part of a toxic document's words that the toxic model speaks for.
 TOXIC_SHARE = 0.02
 #: What is added to the lead of the toxic log-likelihood before its logarithm is taken.
@@ -95,22 +100,28 @@ def no_figures() -> Figures:
 @dataclass
 class RatioModel:
     """ratios: logarithms of toxic over ordinary probability of expressions' last characters. contexts: the same of any
-    other character after a context."""
+    other character after a context. tables: None if these are all; else both, of all expressions and contexts, as stored
+    tables, and ``whole`` is false, in tasks too."""
 
     ratios: Figures = field(default_factory=no_figures)
     contexts: Figures = field(default_factory=no_figures)
     leads: dict[str, float] = field(default_factory=dict)
+    tables: tuple[DataFrame, DataFrame] | None = None
+    whole: bool = True
 
     def __getstate__(self) -> dict:
-        return {"ratios": self.ratios, "contexts": self.contexts, "leads": {}}
+        return {"ratios": self.ratios, "contexts": self.contexts, "leads": {}, "tables": None, "whole": self.whole}
 
     def ratios_of(self, words: list[str]) -> np.ndarray:
-        """The logarithms of toxic over ordinary probability of words, many at once."""
+        """The logarithms of toxic over ordinary probability of words, many at once; NaN for those that the tables tell."""
         each = [expressions(w) for w in words]
-        whole = [e for own in each for e in own]
-        there, found = self.ratios.get(np.array([_key(e) for e in whole], np.uint64))
+        every = [e for own in each for e in own]
+        there, found = self.ratios.get(np.array([_key(e) for e in every], np.uint64))
         missing = np.flatnonzero(~there)
-        found[missing] = self.contexts.get(np.array([_key(whole[i][:-1]) for i in missing.tolist()], np.uint64))[1]
+        if self.whole:
+            found[missing] = self.contexts.get(np.array([_key(every[i][:-1]) for i in missing.tolist()], np.uint64))[1]
+        else:
+            found[missing] = np.nan
         return np.add.reduceat(found, np.cumsum([0, *map(len, each[:-1])]))
 
     def learn(self, words: list[str]) -> None:
@@ -118,7 +129,13 @@ class RatioModel:
         self.leads.update(zip(words, leads.tolist(), strict=True))
 
     def leads_of(self, texts: list[str | None]) -> np.ndarray:
-        """What each text's toxic log-likelihood is ahead of the ordinary one for each word; 0 for a text without words."""
+        """What each text's toxic log-likelihood is ahead of the ordinary one for each word; 0 for a text without words, NaN
+        for one with words that the tables tell."""
+        return np.array([math.nan if rest else own / n if n else 0.0 for own, n, rest in self.sums_of(texts)], float)
+
+    def sums_of(self, texts: list[str | None]) -> list[tuple[float, int, dict[str, int] | None]]:
+        """For each text the sum of its words' leads, how many words it has, and, or None, the words that the
+        tables tell, with how often they come; the sum leaves those out."""
         said = [words_of(t) for t in texts]
         first = 0
         while first < len(said):
@@ -132,9 +149,12 @@ class RatioModel:
             if new:
                 self.learn(sorted(new))
             for i in range(first, stop):
-                said[i] = sum(map(self.leads.__getitem__, said[i])) / len(said[i]) if said[i] else 0.0
+                own = list(map(self.leads.__getitem__, said[i]))
+                total = float(sum(own))
+                rest = Counter(w for w, x in zip(said[i], own) if x != x) if total != total else None
+                said[i] = sum(x for x in own if x == x) if rest else total, len(own), rest
             first = stop
-        return np.array(said, float)
+        return said
 
 
 def counted_expressions(labelled: DataFrame) -> DataFrame:
@@ -207,35 +227,42 @@ def ratio_model(counts: DataFrame) -> RatioModel:
     share = totals[0] / (totals[0] + totals[1])
     likely = share * (F.col("toxic") + F.col("ordinary"))
     lean = (F.col("toxic") - likely) / F.sqrt(likely)
-    passing = counts.agg(*[F.count(F.when(lean > z, 1)) for z in LEANS]).first()
+    entries, *passing = counts.agg(F.count(F.lit(1)), *[F.count(F.when(lean > z, 1)) for z in LEANS]).first()
     least = next((z for z, n in zip(LEANS, passing, strict=True) if n <= 2 / SHARE), math.inf)
-    kept = (F.col("toxic") > SHARE * totals[0]) | (F.col("ordinary") > SHARE * totals[1]) | (lean > least)
-    taken = {c: F.when(kept, F.col(c) - _off(F.col(c), d[c])).otherwise(0.0) for c in d}
+    often = (F.col("toxic") > SHARE * totals[0]) | (F.col("ordinary") > SHARE * totals[1]) | (lean > least)
+    whole = counts.where(often).count() == entries
     split = counts.select(
         "expression",
         F.left("expression", F.length("expression") - 1).alias("context"),
-        kept.alias("kept"),
+        often.alias("sent"),
         *d,
-        *[taken[c].alias(f"{c}_taken") for c in d],
     )
+    met = [F.count(F.when(F.col(c).between(k, k if k < 3 else 1 << 62), 1)) for c in d for k in (1, 2, 3)]
+    names = [f"{c}_{k}" for c in d for k in (1, 2, 3)]
     contexts = split.groupBy("context").agg(
-        F.max("kept").alias("any"), *[F.sum(c).alias(f"{c}_sum") for c in d], *[F.sum(f"{c}_taken").alias(f"{c}_held") for c in d]
+        F.max("sent").alias("any"), *[F.sum(c).alias(f"{c}_sum") for c in d], *[x.alias(n) for x, n in zip(met, names, strict=True)]
     )
-    saved = [F.when(F.col(f"{c}_sum") > 0, 1 - F.col(f"{c}_held") / F.col(f"{c}_sum")).otherwise(1.0).alias(f"{c}_saved") for c in d]
-    contexts = written(contexts.where("any").select("context", *[f"{c}_sum" for c in d], *saved), "toxic-contexts")
+    off = {c: sum((F.col(f"{c}_{k}") * d[c][k - 1] for k in (1, 2, 3)), F.lit(0.0)) for c in d}
+    saved = [F.when(F.col(f"{c}_sum") > 0, off[c] / F.col(f"{c}_sum")).otherwise(1.0).alias(f"{c}_saved") for c in d]
+    contexts = written(contexts.select("context", "any", *[f"{c}_sum" for c in d], *saved), "toxic-contexts")
 
     steps, symbols = shared_steps(counts)
-    known = split.where("kept")
-    lower = known.select("expression", F.explode(F.sequence(F.lit(1), F.length("expression") - 1)).alias("k"))
+    lower = split.select("expression", F.explode(F.sequence(F.lit(1), F.length("expression") - 1)).alias("k"))
     lower = lower.withColumn("lower", F.right("expression", F.col("k"))).join(steps, "lower")
     ladder = F.array_sort(F.collect_list(F.struct("k", "own", "rest")))
     shared = lower.groupBy("expression").agg(
         F.aggregate(ladder, F.lit(1.0 / (symbols + 1)), lambda p, x: x["own"] + x["rest"] * p).alias("shared")
     )
-    p = {c: F.coalesce(F.col(f"{c}_taken") / F.nullif(F.col(f"{c}_sum"), F.lit(0)), F.lit(0.0)) + F.col(f"{c}_saved") * F.col("shared") for c in d}
-    ratios = known.join(shared, "expression").join(contexts, "context").select("expression", F.log(p["toxic"] / p["ordinary"]))
-    ahead = contexts.select("context", F.log(F.col("toxic_saved") / F.col("ordinary_saved")))
-    return RatioModel(_figures(ratios), _figures(ahead))
+    own = {c: F.coalesce((F.col(c) - _off(F.col(c), d[c])) / F.nullif(F.col(f"{c}_sum"), F.lit(0)), F.lit(0.0)) for c in d}
+    p = {c: own[c] + F.col(f"{c}_saved") * F.col("shared") for c in d}
+    each = split.join(shared, "expression").join(contexts, "context")
+    ratios = each.select("expression", F.log(p["toxic"] / p["ordinary"]).cast("float").alias("ratio"), "sent")
+    ahead = contexts.select("context", F.log(F.col("toxic_saved") / F.col("ordinary_saved")).cast("float").alias("ahead"), "any")
+    if whole:
+        return RatioModel(_figures(ratios.drop("sent")), _figures(ahead.drop("any")))
+    ratios, ahead = written(ratios, "toxic-ratios"), written(ahead, "toxic-ahead")
+    sent = _figures(ratios.where("sent").drop("sent")), _figures(ahead.where("any").drop("any"))
+    return RatioModel(*sent, tables=(ratios.drop("sent"), ahead.drop("any")), whole=False)
 
 
 def _figures(table: DataFrame) -> Figures:
@@ -267,13 +294,72 @@ def _logarithm(leads: np.ndarray) -> np.ndarray:
     return np.log(above + FLOOR) + np.minimum(leads, 0.0)
 
 
+def _expressions(word: Column) -> Column:
+    """expressions() of a word."""
+    marked = F.concat(F.lit(" "), word, F.lit(" "))
+    ends = F.sequence(F.lit(2), F.length(marked))
+    return F.transform(ends, lambda i: F.substring(marked, F.greatest(i - (ORDER - 1), F.lit(1)), F.least(i, F.lit(ORDER))))
+
+
+def leads_by_joins(words: DataFrame, tables: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(key, lead) of words (key, word), from the tables of all expressions and contexts. Figures are added up in their order
+    within the word."""
+    ratios, ahead = tables
+    each = words.select("key", F.posexplode(_expressions(F.col("word"))).alias("at", "expression"))
+    each = each.withColumn("context", F.left("expression", F.length("expression") - 1))
+    each = each.join(ratios, "expression", "left").join(ahead, "context", "left")
+    found = F.coalesce(F.col("ratio"), F.col("ahead"), F.lit(0.0)).cast("double").alias("x")
+    parts = F.array_sort(F.collect_list(F.struct("at", found)))
+    summed = each.groupBy("key").agg(F.aggregate(parts, F.lit(0.0), lambda total, x: total + x["x"]).alias("ratio"))
+    return summed.select("key", F.log1p(TOXIC_SHARE * F.expm1(F.least(F.col("ratio"), F.lit(30.0)))).alias("lead"))
+
+
+def with_leads(docs: DataFrame, sent: Broadcast, tables: tuple[DataFrame, DataFrame] | None, text: str, output: str) -> DataFrame:
+    """``docs`` with a new double ``output``: what each text's toxic log-likelihood is ahead for each word.
+
+    Without ``tables`` the broadcast model is whole and texts are only read. With them, the words that it doesn't know whole
+    are stored by text (two hashes of it, once for equal texts), joined with their leads and added up again by text.
+    """
+    content = F.coalesce(quoted(text), F.lit(""))
+    if tables is None:
+
+        @pandas_udf("double")
+        def lead(texts: pd.Series) -> pd.Series:
+            return pd.Series(sent.value.leads_of(texts.tolist()), dtype="float64")
+
+        return docs.withColumn(output, lead(content))
+
+    @pandas_udf("own double, words long, rest array<struct<word: string, n: long>>")
+    def sums(texts: pd.Series) -> pd.DataFrame:
+        found = sent.value.sums_of(texts.tolist())
+        rest = [[{"word": w, "n": n} for w, n in sorted((x[2] or {}).items())] for x in found]
+        return pd.DataFrame({"own": [float(x[0]) for x in found], "words": [x[1] for x in found], "rest": rest})
+
+    one, two = (F.xxhash64(*salt, content) for salt in ((), (F.lit("two"),)))
+    texts = docs.select(one.alias("one"), two.alias("two"), F.explode(sums(content)["rest"]).alias("x"))
+    rests = written(texts.select("one", "two", F.xxhash64("x.word").alias("key"), "x.word", "x.n"), "toxic-rest", TEXT_ROWS)
+    leads = if_small(written(leads_by_joins(rests.select("key", "word").distinct(), tables), "toxic-rest-leads"))
+    joined = rests.select("one", "two", "key", "n").distinct().join(leads, "key")
+    parts = F.array_sort(F.collect_list(F.struct("key", (F.col("n") * F.col("lead")).alias("x"))))
+    told = joined.groupBy("one", "two").agg(F.aggregate(parts, F.lit(0.0), lambda total, x: total + x["x"]).alias("rest"))
+    names = {n: fresh(docs, f"__{n}") for n in ("sums", "one", "two", "of_one", "of_two", "rest")}
+    told = if_small(written(told, "toxic-rest-sums")).toDF(names["of_one"], names["of_two"], names["rest"])
+    here = docs.withColumns({names["sums"]: sums(content), names["one"]: one, names["two"]: two})
+    same = (F.col(names["one"]) == F.col(names["of_one"])) & (F.col(names["two"]) == F.col(names["of_two"]))
+    own = F.col(names["sums"])
+    lead = F.coalesce((own["own"] + F.coalesce(F.col(names["rest"]), F.lit(0.0))) / F.nullif(own["words"], F.lit(0)), F.lit(0.0))
+    return here.join(told, same, "left").select(*[quoted(c) for c in docs.columns], lead.alias(output))
+
+
 @dataclass
 class ToxicityModel:
-    """``sent``: a RatioModel, which has been broadcast and is known to all tasks until release()."""
+    """``sent``: a RatioModel, which has been broadcast and is known to all tasks until release(). ``tables``: those of the
+    RatioModel, None if it is whole."""
 
     sent: Broadcast
     factor: float
     constant: float
+    tables: tuple[DataFrame, DataFrame] | None = None
 
     def release(self) -> None:
         self.sent.destroy()
@@ -329,17 +415,12 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     of the smallest hash, repeated texts as often as they come. Without labels of both classes every score is 0."""
     model = ratio_model(counted_expressions(labelled_documents(docs, labels, [2, 3, 4])))
     broadcast = docs.sparkSession.sparkContext.broadcast(model)  # some 50 MB for 2 / SHARE expressions and their contexts
-
-    @pandas_udf("double")
-    def lead(texts: pd.Series) -> pd.Series:
-        return pd.Series(broadcast.value.leads_of(texts.tolist()), dtype="float64")
-
-    sample = labelled_sample(docs, labels, [1]).select(lead("text").alias("x"), "toxic", "weight")
+    sample = with_leads(labelled_sample(docs, labels, [1]), broadcast, model.tables, "text", "x").select("x", "toxic", "weight")
     fitted = written(sample, "toxic-leads", TEXT_ROWS).toPandas()
     if fitted["toxic"].nunique() < 2:
-        return ToxicityModel(broadcast, 0.0, -30.0)
+        return ToxicityModel(broadcast, 0.0, -30.0, model.tables)
     x, toxic, weight = (fitted[c].to_numpy(float) for c in ("x", "toxic", "weight"))
-    return ToxicityModel(broadcast, *logistic(_logarithm(x), toxic, weight))
+    return ToxicityModel(broadcast, *logistic(_logarithm(x), toxic, weight), model.tables)
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", output: str = "score") -> DataFrame:
@@ -348,17 +429,17 @@ def toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", output:
     Null texts score as empty ones. Texts of any length count whole, and nothing but the text does: equal texts have
     equal scores. An empty table gives an empty one.
     """
-    sent, factor, constant = model.sent, model.factor, model.constant
+    factor, constant = model.factor, model.constant
 
     @pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        x = _logarithm(sent.value.leads_of(texts.tolist()))
+    def score(leads: pd.Series) -> pd.Series:
+        x = _logarithm(leads.to_numpy(float))
         return pd.Series(1 / (1 + np.exp(-np.clip(x * factor + constant, -30, 30))), dtype="float64")
 
-    held = fresh(docs, "__score")
-    scored = docs.withColumn(held, score(F.coalesce(quoted(text), F.lit(""))))
+    held = fresh(docs, "__lead")
+    scored = with_leads(docs, model.sent, model.tables, text, held)
     kept = [quoted(c) for c in docs.columns if c.lower() != output.lower()]
-    return scored.select(*kept, quoted(held).alias(output))
+    return scored.select(*kept, score(quoted(held)).alias(output))
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -300,3 +300,18 @@ def test_the_sharded_join_gives_the_same(spark, graded):
     for r in some.collect():
         n, total = model.sums(r["text"])
         assert got[r["doc_id"]] == (n, pytest.approx(total, rel=1e-5))
+
+
+def test_words_of_any_expressions_score_as_in_the_whole_model(spark, toxic, monkeypatch):
+    docs, labels = toxic
+    odd = [(1001, "zonk zonkier", "x"), (1002, "zonk zonkier", "x"), (1003, "日本 grumpfs " + "ab" * 3000, "x"), (1004, "unseen words only", "x")]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    told = lambda: {(r["doc_id"], r["text"]): r["score"] for r in toxicity.toxicity(docs, toxicity.train(docs, labels)).collect()}
+    whole = told()
+    monkeypatch.setattr(toxicity, "SHARE", 2e-3)
+    monkeypatch.setattr(toxicity, "LEANS", (4, 1e9))
+    model = toxicity.ratio_model(toxicity.counted_expressions(toxicity.labelled_documents(docs, labels, [2, 3, 4])))
+    assert not model.whole and len(model.ratios.keys) < model.tables[0].count()
+    part = told()
+    assert part.keys() == whole.keys() and len(part) == 409
+    assert part == pytest.approx(whole, rel=1e-5)
