@@ -12,14 +12,14 @@ from lodeframe.llm.common import written
 from lodeframe.llm.exact_dedup import without_copies
 from lodeframe.llm.mixing import mixed_documents
 from lodeframe.llm.packing import packed_documents
-from lodeframe.llm.quality import quality, train
+from lodeframe.llm.perplexity import character_quality, train_characters
 from lodeframe.llm.similar import without_similar
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that read like those labelled good in the same language."""
-    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
-    return quality(docs, model).where("accepted").select(*docs.columns)
+    model = train_characters(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
+    return character_quality(docs, model).where("accepted").select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

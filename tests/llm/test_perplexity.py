@@ -1,0 +1,72 @@
+"""Perplexity of characters against the formulas of Kneser and Ney, and verdicts on other scripts."""
+
+import math
+import random
+from collections import Counter
+
+import pytest
+
+from lodeframe.llm import perplexity
+
+from test_models import off_by_hand
+
+rng = random.Random(8)
+WORDS = ["".join(rng.choices("аеиосннтр", k=rng.randint(3, 7))) for _ in range(150)]
+SCHEMA = "doc_id long, text string, lang string"
+
+
+def prose(n):
+    return " ".join(rng.choices(WORDS, k=n))
+
+
+def sums_by_hand(trusted, texts):
+    """The log-probabilities of texts, one context at a time."""
+    padded = lambda t: perplexity.START * 3 + (t or "")
+    levels = {4: Counter(padded(t)[i : i + 4] for t in trusted for i in range(len(t or "")))}
+    for k in (3, 2, 1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    off = {k: off_by_hand(level.values()) for k, level in levels.items()}
+
+    def p(g):
+        if not g:
+            return 1 / (len(levels[1]) + 1)
+        own = {x: n for x, n in levels[len(g)].items() if x[:-1] == g[:-1]}
+        if not own:
+            return p(g[1:])
+        saved = sum(map(off[len(g)], own.values()))
+        return (own.get(g, 0) - off[len(g)](own.get(g, 0)) + saved * p(g[1:])) / sum(own.values())
+
+    return [sum(math.log(p(padded(t)[i : i + 4])) for i in range(len(t or ""))) for t in texts]
+
+
+@pytest.mark.parametrize("sent", [2_000_000, 20])
+def test_sums_by_hand(spark, monkeypatch, sent):
+    monkeypatch.setattr(perplexity, "SENT", sent)
+    monkeypatch.setattr(perplexity, "HELD", 10)
+    trusted = ["The cat sat", "that cat", "a hat, a bat", "кот и кит", "日本語 😀", None, ""]
+    texts = ["The hat", "the hat", "кит", "日本 😀😀", None, "", "Thé", "𝒳 unseen", "The hat"]
+    model = perplexity.model_of(perplexity.counted_grams(spark.createDataFrame([(t,) for t in trusted], "text string"), perplexity.quoted("text")))
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(3)
+    got = {r["i"]: (r["n"], r["total"]) for r in perplexity.with_sums(docs, model, "text", "n", "total").collect()}
+    assert len(got) == len(texts)
+    for i, total in enumerate(sums_by_hand(trusted, texts)):
+        assert got[i] == (len(texts[i] or ""), pytest.approx(total, rel=1e-5)), texts[i]
+
+
+def test_letters_of_other_scripts_are_told_apart(spark):
+    """Each letter of prose is moved to one that the model of 32 symbols takes for the same."""
+    rows = [(i, prose(60), "ru") for i in range(150)]
+    moved = [(500 + i, "".join(c if c == " " else chr(ord(c) + 26) for c in prose(60)), "ru") for i in range(20)]
+    docs = spark.createDataFrame([*rows, *moved, (900, None, "ru"), (901, "", None)], SCHEMA)
+    labels = spark.createDataFrame([(i, 1) for i in range(120)], "doc_id long, quality int")
+    out = perplexity.character_quality(docs, perplexity.train_characters(docs, labels)).collect()
+    accepted = {r["doc_id"]: r["accepted"] for r in out}
+    assert len(accepted) == 172 and {i for i, ok in accepted.items() if not ok} == set(range(500, 520))
+
+
+def test_without_trusted_text(spark):
+    docs = spark.createDataFrame([(1, "one", "en"), (2, None, None)], SCHEMA)
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    model = perplexity.train_characters(docs, labels)
+    assert perplexity.character_quality(docs, model).where("accepted").count() == 2
+    assert perplexity.character_quality(docs.limit(0), model).collect() == []
