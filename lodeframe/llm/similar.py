@@ -26,7 +26,7 @@ NEAR = 172
 SHORT, SHORT_NEAR = 2, 40
 #: Fingerprints of a file that are compared with one another; of a larger file all are looked at whole.
 CROWDED = 512
-#: Whole fingerprints of a file that a task holds.
+#: Whole fingerprints of a file that are compared at once; a larger file is compared part by part.
 HELD = 50_000
 #: Shingles whose bits are counted at once.
 STEP = 2_048
@@ -143,22 +143,33 @@ def forest(fps: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
+def _cross(seen: np.ndarray, groups: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
+    """Links (i, j) of at most NEAR bits from each of ``fps`` to one of ``seen`` in each of their ``groups``."""
+    links = []
+    for i, fp in enumerate(fps):
+        near = np.flatnonzero(differing(seen, fp) <= NEAR)
+        links += [(i, int(near[k])) for k in np.unique(groups[near], return_index=True)[1]]
+    return links
+
+
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, v): forests of the files. Of a file with more than HELD members, one of each group meets the later parts."""
-    carried: tuple[int, np.ndarray, np.ndarray] | None = None
+    """(u, v): forests of the files. A file with more than HELD members is compared part by part, each with all earlier ones."""
+    carried: tuple[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] | None = None
     for file, v, fp, part in _by_files(batches, HELD):
         out: list[tuple[int, int]] = []
         starts = np.flatnonzero(np.append(True, file[1:] != file[:-1]))
         for a, b in zip(starts.tolist(), np.append(starts[1:], len(file)).tolist()):
             ids, own = v[a:b], fp[a:b]
-            if carried and carried[0] == file[a]:
-                ids, own = np.append(carried[1], ids), np.concatenate([carried[2], own])
-            if len(ids) < 2:
-                continue
-            found = forest(own)
+            found = forest(own) if len(ids) > 1 else []
             out += [(int(ids[i]), int(ids[j])) for i, j in found]
-            roots = np.delete(np.arange(len(ids)), [j for _, j in found])
-            carried = (file[a], ids[roots], own[roots]) if part else None
+            earlier = carried[1] if carried and carried[0] == file[a] else []
+            for before, seen, groups in earlier:
+                out += [(int(ids[i]), int(before[j])) for i, j in _cross(seen, groups, own)]
+            if part:
+                groups = np.arange(len(ids))
+                for i, j in found:  # i comes before its j in the forest
+                    groups[j] = groups[i]
+                carried = file[a], [*earlier, (ids, own, groups)]
         u, w = (pa.array([x[k] for x in out], pa.int64()) for k in (0, 1))
         yield pa.RecordBatch.from_arrays([u, w], ["u", "v"])
 

@@ -98,3 +98,21 @@ def test_fingerprints_are_of_sets():
 
 def test_empty_table(spark):
     assert similar.without_similar(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_later_parts_of_a_large_file_meet_all_earlier_members(monkeypatch):
+    """a - b - c, where a and c aren't near: b is no root of the first part."""
+    import pyarrow as pa
+
+    bits = np.zeros((7, 1024), np.uint8)
+    bits[1, 16:156] = bits[2, 16:296] = 1
+    for i in range(3, 7):
+        bits[i, 16 + 200 * (i - 2) :] = 1
+    fps = np.packbits(bits, axis=1, bitorder="little")
+    order = [0, 1, 3, 4, 5, 6, 2]
+    batches = [pa.RecordBatch.from_arrays([pa.array([9], pa.int32()), pa.array([i], pa.int64()), pa.array([fps[i].tobytes()])], ["file", "v", "fp"]) for i in order]
+    pairs = lambda held: {frozenset(x.values()) for b in held for x in b.to_pylist()}
+    whole = pairs(similar._links(iter(batches)))
+    monkeypatch.setattr(similar, "HELD", 2)
+    assert frozenset((1, 2)) in whole and frozenset((0, 2)) not in whole
+    assert pairs(similar._links(iter(batches))) == whole
