@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeframe.llm.common import written
+from lodeframe.llm.common import TEXT_ROWS, written
 from lodeframe.llm.exact_dedup import without_copies
 from lodeframe.llm.mixing import mixed_documents
 from lodeframe.llm.packing import packed_documents
@@ -17,9 +17,10 @@ from lodeframe.llm.similar import without_similar
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that read like those labelled good in the same language."""
+    """Documents that read like those labelled good in the same language, stored, as whoever writes them would send Python
+    batches of the session's size."""
     model = train_characters(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
-    return character_quality(docs, model).where("accepted").select(*docs.columns)
+    return written(character_quality(docs, model).where("accepted").select(*docs.columns), "quality-accepted", TEXT_ROWS)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,17 +25,19 @@ from .toxicity import Figures
 ORDER = 4
 #: Stands before a text's first character; no character of any script.
 START = "\ufdd0"
-#: Characters whose 4-grams are told apart at once, but for a text's.
-CHUNK = 2_000_000
+#: Characters whose 4-grams are told apart at once, some 90 bytes each; parts of longer texts have as many, so that no more than
+#: twice as many come together.
+CHUNK = 500_000
 #: Different 4-grams that a Python worker counts before it passes them on.
 HELD = 300_000
 #: 4-grams that are sent to all tasks, 12 bytes each.
 SENT = 2_000_000
 
 
-def indexed(texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """The different 4-grams of texts, and for each character of the texts the place of the 4-gram that ends there."""
-    joined = "".join(START * (ORDER - 1) + t for t in texts)
+def indexed(parts: list[str]) -> tuple[list[str], np.ndarray]:
+    """The different 4-grams of parts of texts, each after the three characters before it, and for each character of the parts the
+    place of the 4-gram that ends there."""
+    joined = "".join(parts)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     alphabet = np.zeros(0x110000, bool)
     alphabet[points] = True
@@ -48,23 +50,27 @@ def indexed(texts: list[str]) -> tuple[list[str], np.ndarray]:
     else:
         base *= base
     codes = pairs[:-2] * base + pairs[2:]
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    ends = np.repeat(np.arange(1, len(texts) + 1) * (ORDER - 1), lengths) + np.arange(lengths.sum())
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts)) - (ORDER - 1)
+    ends = np.repeat(np.arange(1, len(parts) + 1) * (ORDER - 1), lengths) + np.arange(lengths.sum())
     found, of = np.unique(codes[ends - (ORDER - 1)], return_inverse=True)
     some = np.empty(len(found), np.int64)
     some[of] = ends
     return [joined[i - ORDER + 1 : i + 1] for i in some.tolist()], of
 
 
-def _chunks(texts: list[str | None]) -> Iterator[list[str]]:
-    held: list[str] = []
+def _chunks(texts: list[str | None]) -> Iterator[list[tuple[int, str]]]:
+    """(place of the text, part for indexed()), many at once. Parts end where the text alone says, so that equal texts have equal
+    ones; null and empty texts have none."""
+    held: list[tuple[int, str]] = []
     size = 0
-    for text in texts:
-        held.append(text or "")
-        size += len(held[-1])
-        if size >= CHUNK:
-            yield held
-            held, size = [], 0
+    for i, text in enumerate(texts):
+        padded = START * (ORDER - 1) + (text or "")
+        for at in range(0, len(padded) - (ORDER - 1), CHUNK):
+            held.append((i, padded[at : at + CHUNK + ORDER - 1]))
+            size += len(held[-1][1]) - (ORDER - 1)
+            if size >= CHUNK:
+                yield held
+                held, size = [], 0
     if held:
         yield held
 
@@ -75,15 +81,14 @@ def counted_grams(docs: DataFrame, text: Column) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         met: Counter = Counter()
         for batch in batches:
-            for texts in _chunks(batch["text"].tolist()):
-                if any(texts):
-                    grams, of = indexed(texts)
-                    met.update(dict(zip(grams, np.bincount(of).tolist(), strict=True)))
+            for parts in _chunks(batch["text"].tolist()):
+                grams, of = indexed([part for _, part in parts])
+                met.update(dict(zip(grams, np.bincount(of).tolist(), strict=True)))
                 if len(met) > HELD:
-                    yield pd.DataFrame(met.items(), columns=["gram", "n"])
+                    yield pd.DataFrame({"gram": list(met), "n": list(met.values())})
                     met = Counter()
         if met:
-            yield pd.DataFrame(met.items(), columns=["gram", "n"])
+            yield pd.DataFrame({"gram": list(met), "n": list(met.values())})
 
     each = docs.select(F.coalesce(text, F.lit("")).alias("text")).mapInPandas(count, "gram string, n long")
     return written(each.groupBy("gram").agg(F.sum("n").alias("n")), "quality-grams", TEXT_ROWS)
@@ -148,25 +153,22 @@ def with_sums(docs: DataFrame, model: CharacterModel, text: str, n: str, total:
 
     @pandas_udf("n long, total double, rest array<struct<key: long, n: long>>")
     def sums(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for part in _chunks(texts.tolist()):
-            lengths = list(map(len, part))
-            if not any(lengths):
-                out += [(0, 0.0, []) for _ in part]
-                continue
-            grams, of = indexed(part)
+        count, sums_of, rests = [0] * len(texts), [0.0] * len(texts), [Counter() for _ in texts]
+        for parts in _chunks(texts.tolist()):
+            grams, of = indexed([part for _, part in parts])
             keys = np.array([xxh64_intdigest(g.encode("utf-8", "surrogatepass"), 42) for g in grams], np.uint64)
             there, value = figures.value.get(keys)
             first = 0
-            for length in lengths:
-                own = of[first : first + length]
-                first += length
-                rest = []
+            for i, part in parts:
+                own = of[first : first + len(part) - (ORDER - 1)]
+                first += len(own)
+                count[i] += len(own)
+                sums_of[i] += float(value[own].sum())
                 if not whole and not there[own].all():
                     places, times = np.unique(own[~there[own]], return_counts=True)
-                    rest = [{"key": k, "n": i} for k, i in zip(keys[places].view(np.int64).tolist(), times.tolist(), strict=True)]
-                out.append((length, float(value[own].sum()), rest))
-        return pd.DataFrame(out, columns=["n", "total", "rest"])
+                    rests[i].update(dict(zip(keys[places].view(np.int64).tolist(), times.tolist(), strict=True)))
+        rest = [[{"key": k, "n": times} for k, times in own.items()] for own in rests]
+        return pd.DataFrame({"n": count, "total": sums_of, "rest": rest})
 
     held = fresh(docs, "__sums")
     told = docs.withColumn(held, sums(content))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import pytest
@@ -70,3 +71,32 @@ def test_without_trusted_text(spark):
     model = perplexity.train_characters(docs, labels)
     assert perplexity.character_quality(docs, model).where("accepted").count() == 2
     assert perplexity.character_quality(docs.limit(0), model).collect() == []
+
+
+def test_parts_of_texts(monkeypatch):
+    """Cut anywhere, each character has its own three before it."""
+    texts = ["The cat sat on the mat", None, "", "кот", "x", "日本語 😀", "The cat sat on the mat"]
+    padded = [perplexity.START * 3 + (t or "") for t in texts]
+    by_hand = [Counter(t[i : i + 4] for i in range(len(t) - 3)) for t in padded]
+    for chunk in (1, 2, 5, 22, 1_000):
+        monkeypatch.setattr(perplexity, "CHUNK", chunk)
+        got = [Counter() for _ in texts]
+        for parts in perplexity._chunks(texts):
+            assert sum(len(p) - 3 for _, p in parts) < 2 * chunk
+            grams, of = perplexity.indexed([p for _, p in parts])
+            ends = iter(of.tolist())
+            for i, part in parts:
+                got[i].update(grams[next(ends)] for _ in part[3:])
+        assert got == by_hand, chunk
+
+
+@pytest.mark.parametrize("texts", [[prose(3_000)] * 200, [prose(600_000)]], ids=["many", "one"])
+def test_memory_of_indexing(texts):
+    assert sum(map(len, texts)) > 3_000_000
+    tracemalloc.start()
+    try:
+        for parts in perplexity._chunks(texts):
+            perplexity.indexed([p for _, p in parts])
+        assert tracemalloc.get_traced_memory()[1] < 110e6
+    finally:
+        tracemalloc.stop()

@@ -67,6 +67,13 @@ def test_stages(spark, corpus):
     assert sum(r["start"] == 0 for r in packed[1]) == len(packed[0])
 
 
+def test_the_quality_stage_sends_no_texts_to_python_in_the_batches_of_others(spark, corpus):
+    """Who writes a stage's documents has the session's 10,000 rows in a batch."""
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    plan = corpus_pipeline.good_quality(spark, docs, corpus)._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" in plan and "Python" not in plan
+
+
 def test_run(spark, corpus):
     out = corpus_pipeline.run(spark, corpus)
     assert {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} <= set(out.columns) and out.count() > 150
